@@ -1,0 +1,5 @@
+"""There is no stream in the work this package covers, so there is no streaming operator.
+
+The row-wise expressions in `riskframe.functions` keep no state and may be used on a streaming
+DataFrame as they are.
+"""
