@@ -19,9 +19,10 @@ def bin_label(
     if len(labels) != len(edges) - 1:
         raise ValueError(f"{len(edges)} edges need {len(edges) - 1} labels, got {len(labels)}")
     col = _col(c).cast("double")
-    expr = F
-    for low, high, label in zip(edges, edges[1:], labels):
-        expr = expr.when((col >= float(low)) & (col < float(high)), F.lit(label))
+    # edges ascend, so one comparison per label is enough; NaN is above every edge
+    expr = F.when(col < float(edges[0]), F.lit(missing))
+    for high, label in zip(edges[1:], labels):
+        expr = expr.when(col < float(high), F.lit(label))
     return expr.otherwise(F.lit(missing))
 
 

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, functions as F
 
-from riskframe.functions.fixed import MISSING, NULL_TEXT, NULL_TEXT_NULLABLE
+from riskframe.functions.fixed import MISSING, NULL_TEXT, NULL_TEXT_NULLABLE, WHITE_SPACE
 
 _NUMBER = r"(?i)^\s*[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?|inf|infinity)\s*$"
 
@@ -17,7 +17,7 @@ def _col(c: Column | str) -> Column:
 
 def strip(c: Column | str) -> Column:
     """Remove leading and trailing white space, Unicode spaces and tabs included."""
-    return F.regexp_replace(_col(c), r"(?U)^\s+|\s+$", "")
+    return F.trim(_col(c), F.lit(WHITE_SPACE))
 
 
 def key_text(c: Column | str, null_token: str = NULL_TEXT) -> Column:

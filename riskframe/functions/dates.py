@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from riskframe.functions.clean import _col
-from riskframe.functions.fixed import SEASON_OF_MONTH, WEEKEND_DAYS
+from riskframe.functions.fixed import DAY_NAMES, SEASON_OF_MONTH, WEEKEND_DAYS
 
 
 def elapsed_days(later: Column | str, earlier: Column | str) -> Column:
@@ -20,21 +20,19 @@ def elapsed_days(later: Column | str, earlier: Column | str) -> Column:
 
 
 def day_name(c: Column | str) -> Column:
-    return F.date_format(_col(c), "EEEE")
+    """English name of the weekday."""
+    return F.get(F.array(*[F.lit(d) for d in DAY_NAMES]), F.weekday(_col(c)))
 
 
 def season(c: Column | str) -> Column:
-    month = F.month(_col(c))
-    expr = F
-    for name in dict.fromkeys(SEASON_OF_MONTH.values()):
-        months = [m for m, s in SEASON_OF_MONTH.items() if s == name]
-        expr = expr.when(month.isin(months), F.lit(name))
-    return expr
+    names = F.array(*[F.lit(SEASON_OF_MONTH[m]) for m in range(1, 13)])
+    return F.get(names, F.month(_col(c)) - 1)
 
 
 def is_weekend(c: Column | str) -> Column:
     """Friday or Saturday; false for a missing date."""
-    return F.coalesce(day_name(c).isin(WEEKEND_DAYS), F.lit(False))
+    days = [DAY_NAMES.index(d) for d in WEEKEND_DAYS]
+    return F.coalesce(F.weekday(_col(c)).isin(days), F.lit(False))
 
 
 def decade(c: Column | str) -> Column:

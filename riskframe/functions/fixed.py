@@ -7,6 +7,12 @@ NULL_TEXT_NULLABLE = "<NA>"
 NO_HOLIDAY_DAYS = 999
 NEAR_HOLIDAY_DAYS = 3
 
+# --- fixed values: white space removed at both ends of a text -------------------------
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+
 # --- fixed values: bin edges and labels ([a, b) intervals) ----------------------------
 INF = float("inf")
 WAIT_DAYS_EDGES = [-INF, 7, 30, 90, 365, INF]
@@ -21,6 +27,7 @@ SEASON_OF_MONTH = {
     1: "Winter", 2: "Winter", 3: "Spring", 4: "Spring", 5: "Spring", 6: "Summer",
     7: "Summer", 8: "Summer", 9: "Fall", 10: "Fall", 11: "Fall", 12: "Winter",
 }
+DAY_NAMES = ["Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday"]
 WEEKEND_DAYS = ["Friday", "Saturday"]
 
 # --- fixed values: source column names -> names used here -----------------------------

@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from riskframe.functions.clean import _col
-from riskframe.functions.dates import day_name
-from riskframe.functions.fixed import NEAR_HOLIDAY_DAYS, NO_HOLIDAY_DAYS, WEEKEND_DAYS
+from riskframe.functions.dates import is_weekend
+from riskframe.functions.fixed import NEAR_HOLIDAY_DAYS, NO_HOLIDAY_DAYS
 from riskframe.session import settle
 
 
@@ -58,7 +58,7 @@ def add_holiday_features(df: DataFrame, date: str, holidays: DataFrame) -> DataF
     to_next = F.coalesce(F.datediff(upcoming, here), F.lit(NO_HOLIDAY_DAYS))
     from_prev = F.coalesce(F.datediff(here, passed), F.lit(NO_HOLIDAY_DAYS))
     after = F.coalesce(F.col("after_holiday"), F.lit(False)) | (
-        ends["first"].isNotNull() & F.coalesce(day_name(F.date_sub(here, 1)).isin(WEEKEND_DAYS), F.lit(False))
+        ends["first"].isNotNull() & is_weekend(F.date_sub(here, 1))
     )
     return joined.withColumns({
         "days_to_next_holiday": to_next.cast("double"),

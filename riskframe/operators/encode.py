@@ -5,8 +5,9 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import cached_property
 
-from pyspark.ml.feature import OneHotEncoder, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, StringIndexerModel, VectorAssembler
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from riskframe.functions.clean import nan_to_null
@@ -46,23 +47,21 @@ class FeatureSpec:
 def scaling_params(train: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Per column: median, then mean and population standard deviation of the imputed values
     (1 where there is no spread). One row per column; an all-null column has a null median."""
-    values = train.select(*[nan_to_null(c).alias(c) for c in columns])
-    middle, _ = settle(medians(values, columns))
+    middle, _ = settle(medians(train, columns))
     row = middle.first() or {}
-    filled = {c: F.coalesce(F.col(c), F.lit(row[c])) for c in columns}
-    wide = values.agg(
-        *[F.avg(filled[c]).alias(f"mean_{c}") for c in columns],
-        *[F.stddev_pop(filled[c]).alias(f"std_{c}") for c in columns],
-    )
-    cells = F.array(*[
+    filled = F.array(*[
         F.struct(
             F.lit(i).alias("position"), F.lit(c).alias("column"),
-            F.lit(row[c]).cast("double").alias("median"), F.col(f"mean_{c}").alias("mean"),
-            F.when(F.col(f"std_{c}") == 0, 1.0).otherwise(F.col(f"std_{c}")).alias("scale"),
+            F.lit(row[c]).cast("double").alias("median"), F.coalesce(nan_to_null(c), F.lit(row[c])).alias("value"),
         )
         for i, c in enumerate(columns)
     ])
-    return wide.select(F.explode(cells).alias("cell")).select("cell.*")
+    spread = F.stddev_pop("value")
+    return (
+        train.select(F.explode(filled).alias("cell")).select("cell.*")
+        .groupBy("position", "column", "median")
+        .agg(F.avg("value").alias("mean"), F.when(spread == 0, 1.0).otherwise(spread).alias("scale"))
+    )
 
 
 def vocabulary(
@@ -133,55 +132,85 @@ class Preprocessor:
     small: bool
     drop_empty: bool = True
 
+    @cached_property
     def _params(self) -> dict[str, dict]:
         return {r["column"]: r.asDict() for r in self.params.collect()}  # a row per column
 
+    @property
     def kept_numeric(self) -> list[str]:
         """Numeric columns in the vector; one without any training value has no median."""
-        params = self._params()
-        return [c for c in self.numeric if not self.drop_empty or params[c]["median"] is not None]
+        return [c for c in self.numeric if not self.drop_empty or self._params[c]["median"] is not None]
 
+    @cached_property
     def widths(self) -> dict[str, int]:
+        """Slots per categorical column."""
         rows = self.vocab.groupBy("column").agg((F.max("slot") + 1).alias("width")).collect()
         found = {r["column"]: r["width"] for r in rows}
         return {c: found[c] for c in self.categorical if c in found}
 
     def names(self) -> DataFrame:
-        return feature_names(self.vocab, self.kept_numeric(), self.categorical)
+        return feature_names(self.vocab, self.kept_numeric, self.categorical)
 
     def scaled(self, df: DataFrame) -> DataFrame:
         """Numeric columns imputed and scaled, in place."""
-        params = self._params()
+        params = self._params
 
         def scale(c: str) -> Column:
             p = params[c]
             value = F.coalesce(nan_to_null(c), F.lit(p["median"]), F.lit(0.0))
             return (value - F.lit(p["mean"] or 0.0)) / F.lit(p["scale"] or 1.0)
 
-        return df.withColumns({c: scale(c) for c in self.kept_numeric()})
+        return df.withColumns({c: scale(c) for c in self.kept_numeric})
+
+    def _with_slots(self, df: DataFrame) -> DataFrame:
+        """Add the slot of each category; an unknown or missing one gets the number of slots."""
+        columns = list(self.widths)
+        if not columns:
+            return df
+        if not self.small:
+            for column, width in self.widths.items():
+                slots = self.vocab.filter(F.col("column") == column).select(
+                    F.col("category").alias("__category"), F.col("slot").alias(f"__slot_{column}")
+                )
+                df = attach(df.withColumn("__category", F.col(column).cast("string")), slots, ["__category"], False)
+                df = df.withColumn(f"__slot_{column}", F.coalesce(f"__slot_{column}", F.lit(width)).cast("double"))
+            return df
+        # a small vocabulary is a set of label lists: frequent categories first, in slot order,
+        # then the rare ones, which share the next slot
+        labels: dict[str, list[str]] = {c: [] for c in columns}
+        frequent = dict.fromkeys(columns, 0)
+        for row in self.vocab.orderBy("column", "slot", "category").collect():
+            labels[row["column"]].append(row["category"])
+            frequent[row["column"]] += not row["rare"]
+        indexer = StringIndexerModel.from_arrays_of_labels(
+            [labels[c] for c in columns], [f"__text_{c}" for c in columns],
+            [f"__index_{c}" for c in columns], handleInvalid="keep",
+        )
+        indexed = indexer.transform(df.withColumns({f"__text_{c}": F.col(c).cast("string") for c in columns}))
+        slots = {
+            f"__slot_{c}": F.when(F.col(f"__index_{c}") >= len(labels[c]), F.lit(float(self.widths[c]))).otherwise(
+                F.least(F.col(f"__index_{c}"), F.lit(float(frequent[c])))
+            )
+            for c in columns
+        }
+        return indexed.withColumns(slots).drop(*[f"__text_{c}" for c in columns], *[f"__index_{c}" for c in columns])
 
     def transform(self, df: DataFrame, keep: Sequence[str]) -> DataFrame:
         """Rows (keep..., features): sparse vector, numeric features first."""
-        out = self.scaled(df)
-        hot: list[str] = []
-        for column, width in self.widths().items():
-            slots = self.vocab.filter(F.col("column") == column).select(
-                F.col("category").alias("__category"), F.col("slot").alias(f"__slot_{column}")
-            )
-            out = attach(out.withColumn("__category", F.col(column).cast("string")), slots, ["__category"], self.small)
+        out = self._with_slots(self.scaled(df))
+        hot = list(self.widths)
+        for column, width in self.widths.items():
             # the number of slots travels as column metadata, so the encoder needs no data pass;
             # the extra last slot stands for unknown and is left out by dropLast
             meta = {"ml_attr": {"type": "nominal", "num_vals": width + 1, "name": column}}
-            slot = F.coalesce(f"__slot_{column}", F.lit(width)).cast("double")
-            out = out.withColumn(f"__slot_{column}", slot.alias(f"__slot_{column}", metadata=meta))
-            hot.append(column)
+            out = out.withMetadata(f"__slot_{column}", meta)
         if hot:
             encoder = OneHotEncoder(
                 inputCols=[f"__slot_{c}" for c in hot], outputCols=[f"__hot_{c}" for c in hot], dropLast=True
             )
             out = encoder.fit(out).transform(out)
         assembler = VectorAssembler(
-            inputCols=self.kept_numeric() + [f"__hot_{c}" for c in hot], outputCol="features"
+            inputCols=self.kept_numeric + [f"__hot_{c}" for c in hot], outputCol="features"
         )
         return assembler.transform(out).select(*keep, "features")
 

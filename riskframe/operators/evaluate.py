@@ -101,10 +101,9 @@ def cumulative_counts(
     Running sums go by chunks of the score (`ranks.prefix_sums`), so nothing is sorted whole.
     """
     counts = score_counts(scored, label, score, by)
-    valid = scored.select(F.col(score).cast("double").alias("score")).filter("score is not null")
     return prefix_sums(
         counts, "score", {"pos": "tp", "neg": "fp"}, {"pos": "positives", "neg": "negatives"},
-        by, descending=True, cuts_from=valid, following=following,
+        by, descending=True, following=following,
     )
 
 

@@ -162,24 +162,17 @@ def imbalance_ratio(df: DataFrame, target: str) -> DataFrame:
     )
 
 
-def _melt(df: DataFrame, columns: Sequence[str], by: Sequence[str]) -> DataFrame:
-    cells = F.array(*[
-        F.struct(F.lit(c).alias("column"), nan_to_null(c).alias("value")) for c in columns
-    ])
-    return df.select(*by, F.explode(cells).alias("cell")).select(*by, "cell.*")
-
-
 def describe(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """count, mean, std (n-1), min, exact quartiles and max per column and group, long form."""
     stats = {
-        "count": F.count("value").cast("double"), "mean": F.avg("value"),
-        "std": F.stddev_samp("value"), "min": F.min("value"), "max": F.max("value"),
+        "count": lambda v: F.count(v).cast("double"), "mean": F.avg, "std": F.stddev_samp,
+        "min": F.min, "max": F.max,
     }
+    wide = df.groupBy(*by).agg(*[
+        stat(nan_to_null(c)).alias(f"{name}__{c}") for name, stat in stats.items() for c in columns
+    ])
     group = [*by, "column"]
-    moments = _melt(df, columns, by).groupBy(*group).agg(
-        *[expr.alias(name) for name, expr in stats.items()]
-    )
-    moments = moments.unpivot(group, list(stats), "stat", "value")
+    moments = unfold(wide, columns, list(stats), by).unpivot(group, list(stats), "stat", "value")
     names = F.create_map(*[F.lit(x) for name, s in QUARTILES.items() for x in (float(s), name)])
     quartiles = quantiles(df, columns, list(QUARTILES.values()), by).select(
         *group, F.element_at(names, F.col("share")).alias("stat"), "value"
@@ -189,9 +182,11 @@ def describe(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> D
 
 def ranges(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Minimum, maximum and mean per column."""
-    return _melt(df, columns, []).groupBy("column").agg(
-        F.min("value").alias("min"), F.max("value").alias("max"), F.avg("value").alias("mean")
-    )
+    stats = {"min": F.min, "max": F.max, "mean": F.avg}
+    wide = df.agg(*[
+        stat(nan_to_null(c)).alias(f"{name}__{c}") for name, stat in stats.items() for c in columns
+    ])
+    return unfold(wide, columns, list(stats))
 
 
 def rate_by_category(

@@ -1,8 +1,9 @@
 """Exact order statistics and prefix sums over data that fits in no single task.
 
-Both rest on cut points: an approximate-percentile sketch splits the value range into about
-equally filled chunks. A chunk is a pure function of the value, so it is the same after a
-task is retried, and only within a chunk is anything sorted.
+Both rest on chunks: ranges of the value that hold about equally many rows, cut at points from
+an approximate-percentile sketch. A chunk is a pure function of the value, so it is the same
+after a task is retried, and only within a chunk is anything sorted. The cut points steer how
+the work is spread, never the result.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from riskframe.functions.bins import with_position
 from riskframe.functions.clean import nan_to_null
-from riskframe.session import parallelism, settle
+from riskframe.session import SMALL_ROWS, parallelism, settle, stage
 
 
 def chunk_count(df: DataFrame) -> int:
@@ -21,113 +22,132 @@ def chunk_count(df: DataFrame) -> int:
     return max(64, 4 * parallelism(df.sparkSession))
 
 
-def cut_points(df: DataFrame, columns: Sequence[str], chunks: int) -> DataFrame:
-    """One row with an ascending array of cut points per column."""
+def cut_points(column: Column, chunks: int) -> Column:
+    """Ascending cut points of a column, as an aggregate."""
     shares = F.array(*[F.lit(i / chunks) for i in range(1, chunks)])
-    accuracy = F.lit(max(10_000, 10 * chunks))
-    return df.agg(*[F.percentile_approx(c, shares, accuracy).alias(c) for c in columns])
+    return F.percentile_approx(column, shares, F.lit(10 * chunks))
 
 
-def with_chunks(
-    df: DataFrame, names: dict[str, str], chunks: int, of: DataFrame | None = None
-) -> DataFrame:
-    """Add a chunk number per ``{column: chunk column}``; cut points come from ``of`` (or df).
+def with_chunk(df: DataFrame, column: str, name: str, chunks: int, of: DataFrame | None = None) -> DataFrame:
+    """Add the chunk number of a column; the cut points come from the rows of ``of`` (or df).
 
-    The cut points (columns x chunks numbers) are settled first: computed once, they cannot
-    differ between two passes over the data.
+    They are settled first: computed once, they cannot differ between two passes.
     """
-    cuts, _ = settle(cut_points(df if of is None else of, list(names), chunks))
-    cuts = cuts.select(F.struct(*names).alias("cuts")).scalar()
-    return with_position(df, {out: (c, cuts[c]) for c, out in names.items()}, chunks)
+    source = df if of is None else of
+    cuts, _ = settle(source.agg(cut_points(F.col(column), chunks).alias("cuts")))
+    return with_position(df, {name: (column, cuts.scalar())}, chunks)
 
 
-def pick_ranks(
-    df: DataFrame,
-    columns: Sequence[str],
-    ranks: Callable[[Column], Column],
-    by: Sequence[str] = (),
-) -> DataFrame:
-    """Values at given ranks, per column and group: rows (by..., column, id, rank, n, value).
+# --- order statistics: count per chunk, locate ranks, resolve -------------------------
 
-    ``ranks`` turns the number of non-null values into an array of structs (id, rank), ranks
-    from 1. Three narrow passes: sketch the cut points; count values per chunk (at most
-    groups x columns x chunks rows after partial aggregation); then sort only the chunks
-    that hold a wanted rank. All columns must share one type.
-    """
-    chunks = chunk_count(df)
-    narrow = df.select(*by, *columns)
-    positioned = with_chunks(narrow, {c: f"__chunk_{c}" for c in columns}, chunks)
-    cells = F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(c).alias("value"), F.col(f"__chunk_{c}").alias("chunk"))
-        for c in columns
-    ])
-    long = (
-        positioned.select(*by, F.explode(cells).alias("cell"))
-        .select(*by, "cell.*")
-        .filter(F.col("value").isNotNull())
-    )
-    group = [*by, "column"]
-    running = Window.partitionBy(*group).orderBy("chunk")
-    before = F.coalesce(
-        F.sum("cnt").over(running.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
-    )
-    counted = (
-        long.groupBy(*group, "chunk").agg(F.count("*").alias("cnt"))
-        .withColumn("before", before)
-        .withColumn("n", F.sum("cnt").over(Window.partitionBy(*group)))
-    )
-    wanted = (
-        counted.withColumn("wanted", F.filter(
-            ranks(F.col("n")),
-            lambda r: (r["rank"] > F.col("before")) & (r["rank"] <= F.col("before") + F.col("cnt")),
-        ))
-        .filter(F.size("wanted") > 0)
-        .select(*group, "chunk", "before", "n", "wanted")
-    )
-    wanted, small = settle(wanted)
-    wanted = F.broadcast(wanted) if small else wanted
+
+def count_chunks(long: DataFrame, group: Sequence[str]) -> DataFrame:
+    """Rows per group and chunk with the rows before it and the group's total. One pass; the
+    result has at most groups x chunks rows."""
+    counted, _ = settle(long.groupBy(*group, "chunk").agg(F.count("*").alias("cnt")))
+    running = Window.partitionBy(*group).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    return counted.withColumns({
+        "before": F.coalesce(F.sum("cnt").over(running), F.lit(0)),
+        "n": F.sum("cnt").over(Window.partitionBy(*group)),
+    })
+
+
+def locate(counted: DataFrame, ranks: Column) -> DataFrame:
+    """Chunks that hold a wanted rank. ``ranks`` is an array of structs (id, rank), ranks from 1."""
+    inside = F.filter(ranks, lambda r: (r["rank"] > F.col("before")) & (r["rank"] <= F.col("before") + F.col("cnt")))
+    return counted.withColumn("wanted", inside).filter(F.size("wanted") > 0).drop("cnt")
+
+
+def resolve(long: DataFrame, group: Sequence[str], located: DataFrame) -> DataFrame:
+    """Values at the located ranks: rows (group..., id, rank, n, value). Only the values of the
+    located chunks are shuffled, equal ones merged."""
+    located, small = settle(located)
     keys = [*group, "chunk"]
-    targets = wanted.withColumnsRenamed({k: f"__{k}" for k in keys})
+    targets = located.withColumnsRenamed({k: f"__{k}" for k in keys})
     match = None
     for k in keys:
         same = F.col(k).eqNullSafe(F.col(f"__{k}"))
         match = same if match is None else match & same
-    in_chunk = Window.partitionBy(*keys).orderBy("value")
+    send = F.broadcast if small else (lambda d: d)
+    in_order = Window.partitionBy(*keys).orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    last, first = F.col("before") + F.col("upto"), F.col("before") + F.col("upto") - F.col("cnt")
     return (
-        long.join(targets.select(*[f"__{k}" for k in keys]), match, "left_semi")
+        long.join(send(targets.select(*[f"__{k}" for k in keys])), match, "left_semi")
         .groupBy(*keys, "value").agg(F.count("*").alias("cnt"))
-        .withColumn("upto", F.sum("cnt").over(in_chunk.rowsBetween(Window.unboundedPreceding, 0)))
-        .join(targets, match, "inner")
-        .withColumn("hit", F.explode(F.filter("wanted", lambda r: (
-            (r["rank"] > F.col("before") + F.col("upto") - F.col("cnt"))
-            & (r["rank"] <= F.col("before") + F.col("upto"))
-        ))))
+        .withColumn("upto", F.sum("cnt").over(in_order))
+        .join(send(targets), match)
+        .withColumn("hit", F.explode(F.filter("wanted", lambda r: (r["rank"] > first) & (r["rank"] <= last))))
         .select(*group, "hit.id", "hit.rank", "n", "value")
     )
 
 
+def long_form(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """Non-null numbers as rows (by..., column_no, value)."""
+    cells = F.array(*[
+        F.struct(F.lit(i).alias("column_no"), nan_to_null(c).alias("value")) for i, c in enumerate(columns)
+    ])
+    cells = F.filter(cells, lambda c: c["value"].isNotNull())
+    return df.select(*by, F.explode(cells).alias("cell")).select(*by, "cell.*")
+
+
 def quantiles(
     df: DataFrame, columns: Sequence[str], shares: Sequence[float], by: Sequence[str] = ()
 ) -> DataFrame:
-    """Exact quantiles with linear interpolation: rows (by..., column, share, value)."""
-    numbers = df.select(*by, *[nan_to_null(c).alias(c) for c in columns])
-
-    def ranks(n: Column) -> Column:
-        wanted = []
-        for i, share in enumerate(shares):
-            place = (n - 1) * F.lit(float(share))
-            for side, rank in ((0, F.floor(place)), (1, F.ceil(place))):
-                wanted.append(F.struct(
-                    F.lit(2 * i + side).alias("id"), (rank + 1).cast("long").alias("rank")
-                ))
-        return F.array(*wanted)
-
-    picked = pick_ranks(numbers, columns, ranks, by)
+    """Exact quantiles with linear interpolation: rows (by..., column, share, value).
+
+    The first pass sketches cut points and the number of distinct values. Where these are few,
+    the second counts them and is the last; else it counts chunks, and a third pass sorts the
+    chunks that hold a wanted rank.
+    """
+    chunks = chunk_count(df)
+    group = [*by, "column_no"]
+    long = long_form(df, columns, by)
+    sketch = {row["column_no"]: row for row in long.groupBy("column_no").agg(
+        cut_points(F.col("value"), chunks).alias("cuts"),
+        F.approx_count_distinct(F.xxhash64(*by, "value")).alias("distinct"),
+    ).collect()}  # one row per column
+    if sum(row["distinct"] for row in sketch.values()) <= SMALL_ROWS / 2:
+        counts, _ = settle(long.groupBy(*group, "value").agg(F.count("*").alias("cnt")))
+        picked = pick_from_counts(counts, group, _quantile_ranks(shares))
+    else:
+        # one array of cut points per column, in column order
+        none = F.array().cast("array<double>")
+        cuts = F.array(*[F.lit(sketch[i]["cuts"]) if i in sketch else none for i in range(len(columns))])
+        long = with_position(long, {"chunk": ("value", F.get(cuts, F.col("column_no")))}, chunks)
+        located = locate(count_chunks(long, group), _quantile_ranks(shares))
+        picked = resolve(long, group, located)
+    return _interpolate(picked, columns, shares, by)
+
+
+def pick_from_counts(counts: DataFrame, group: Sequence[str], ranks: Column) -> DataFrame:
+    """Values at the wanted ranks from rows (group..., value, cnt), few per group."""
+    in_order = Window.partitionBy(*group).orderBy("value")
+    counted = counts.withColumns({
+        "upto": F.sum("cnt").over(in_order.rowsBetween(Window.unboundedPreceding, 0)),
+        "n": F.sum("cnt").over(Window.partitionBy(*group)),
+    })
+    last, first = F.col("upto"), F.col("upto") - F.col("cnt")
+    hits = F.filter(ranks, lambda r: (r["rank"] > first) & (r["rank"] <= last))
+    return counted.withColumn("hit", F.explode(hits)).select(*group, "hit.id", "n", "value")
+
+
+def _quantile_ranks(shares: Sequence[float]) -> Column:
+    """For each share the ranks below and above its place among ``n`` values; ids 2i and 2i+1."""
+    wanted = []
+    for i, share in enumerate(shares):
+        place = (F.col("n") - 1) * F.lit(float(share))
+        for side, rank in ((0, F.floor(place)), (1, F.ceil(place))):
+            wanted.append(F.struct(F.lit(2 * i + side).alias("id"), (rank + 1).cast("long").alias("rank")))
+    return F.array(*wanted)
+
+
+def _interpolate(picked: DataFrame, columns: Sequence[str], shares: Sequence[float], by: Sequence[str]) -> DataFrame:
+    name = F.get(F.array(*[F.lit(c) for c in columns]), F.col("column_no"))
     share = F.get(F.array(*[F.lit(float(s)) for s in shares]), F.floor(F.col("id") / 2).cast("int"))
     low = F.min("value")
     place = (F.first("n") - 1) * F.col("share")
     return (
-        picked.withColumn("share", share)
+        picked.select(*by, name.alias("column"), share.alias("share"), "n", "value")
         .groupBy(*by, "column", "share")
         .agg((low + (F.max("value") - low) * (place - F.floor(place))).alias("value"))
     )
@@ -141,6 +161,16 @@ def medians(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     ])
 
 
+def median_of_counts(counts: DataFrame) -> DataFrame:
+    """One row with the median of few different values, given as rows (value, cnt)."""
+    rows = counts.filter("value is not null").withColumn("column_no", F.lit(0))
+    picked = pick_from_counts(rows, ["column_no"], _quantile_ranks([0.5]))
+    return _interpolate(picked, ["median"], [0.5], []).select(F.col("value").alias("median"))
+
+
+# --- prefix sums ----------------------------------------------------------------------
+
+
 def prefix_sums(
     df: DataFrame,
     order: str,
@@ -148,19 +178,22 @@ def prefix_sums(
     totals: dict[str, str],
     by: Sequence[str] = (),
     descending: bool = False,
-    cuts_from: DataFrame | None = None,
     following: dict[str, str] | None = None,
 ) -> DataFrame:
     """Running sums by an order column that is unique within ``by``, without one big sort.
 
     ``sums`` maps a value column to the name of its running total (own row included),
     ``totals`` to the name of its overall total, ``following`` to the name of its value in the
-    next row. What a chunk needs to know of the others comes from a table with one row per
-    chunk and group.
+    next row. ``df`` is an aggregate; it is written to the shared folder once and read from
+    there. What a chunk needs to know of the others comes from a table with one row per chunk
+    and group; a table that is small as a whole is one chunk.
     """
     following = following or {}
-    chunks = chunk_count(df)
-    placed = with_chunks(df, {order: "__chunk"}, chunks, of=cuts_from)
+    df = stage(df)
+    if df.count() <= SMALL_ROWS:
+        placed = df.withColumn("__chunk", F.lit(0))
+    else:
+        placed = with_chunk(df, order, "__chunk", chunk_count(df))
     sort = (lambda c: F.col(c).desc()) if descending else (lambda c: F.col(c).asc())
     first_by = F.max_by if descending else F.min_by
 
@@ -177,7 +210,7 @@ def prefix_sums(
         *[F.lead(f"__f_{v}").over(over_chunks).alias(f"__n_{v}") for v in following],
     )
     if not by:
-        others = F.broadcast(others)  # at most `chunks` rows
+        others = F.broadcast(others)  # at most one row per chunk
     in_order = Window.partitionBy(*by, "__chunk").orderBy(sort(order))
     upto = in_order.rowsBetween(Window.unboundedPreceding, 0)
     within = placed.withColumns({

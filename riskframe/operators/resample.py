@@ -10,8 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from riskframe.functions.fixed import SEED, SMOTE_NEIGHBOURS
 from riskframe.operators.joins import attach
-from riskframe.operators.ranks import pick_ranks
-from riskframe.operators.stratify import order_hash
+from riskframe.operators.stratify import hash_limit, order_hash
 
 #: Rows of one side of a distance matrix; 4096 x 4096 doubles are 128 MB.
 BLOCK_ROWS = 4096
@@ -33,11 +32,8 @@ def _copies(rows: DataFrame, few: int, need: int, key: Sequence[str], seed: int)
     base, rest = divmod(need, few)
     if rest == 0:
         return F.lit(base)
-    h = order_hash(key, seed)
-    limit = pick_ranks(rows.select(h.alias("h")), ["h"], lambda n: F.array(
-        F.struct(F.lit(0).alias("id"), F.lit(rest).cast("long").alias("rank"))
-    ))
-    return F.lit(base) + (h <= limit.agg(F.max("value")).scalar()).cast("int")
+    lowest = order_hash(key, seed) <= hash_limit(rows, rest, key, seed)
+    return F.lit(base) + lowest.cast("int")
 
 
 def oversample(

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from riskframe.functions.dates import elapsed_days
 from riskframe.operators.joins import HOT_ROWS, HOT_SHARE, hot_keys
-from riskframe.operators.ranks import chunk_count, with_chunks
+from riskframe.operators.ranks import chunk_count, with_chunk
 
 
 def with_sequence(
@@ -25,7 +25,7 @@ def with_sequence(
     if hot:
         chunks = chunk_count(events)
         is_hot = F.xxhash64(*keys).isin(hot)
-        events = with_chunks(events, {time: "__chunk"}, chunks)
+        events = with_chunk(events, time, "__chunk", chunks)
         events = events.withColumn("__chunk", F.when(
             is_hot, F.coalesce(F.col("__chunk"), F.lit(chunks))  # no time: after all chunks
         ).otherwise(F.lit(-1)))

@@ -13,57 +13,60 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from riskframe.functions.fixed import FOLDS, SEED, TEST_SHARE
 from riskframe.operators.joins import attach
-from riskframe.operators.ranks import pick_ranks
+from riskframe.operators.ranks import count_chunks, locate, resolve
+
+#: Hashes are uniform, so their leading bits are chunks of equal size.
+_CHUNK_BITS = 12
 
 
 def order_hash(key: Sequence[str], seed: int) -> Column:
     return F.xxhash64(F.lit(seed), *key)
 
 
-def class_counts(df: DataFrame, label: str) -> DataFrame:
-    return df.groupBy(label).agg(F.count("*").alias("n"))
+def _hashed(df: DataFrame, label: Column, key: Sequence[str], seed: int) -> DataFrame:
+    rows = df.select(label.alias("label"), order_hash(key, seed).alias("value"))
+    return rows.withColumn("chunk", F.shiftright("value", 64 - _CHUNK_BITS))
 
 
-def split_quotas(counts: DataFrame, label: str, test_share: float = TEST_SHARE) -> DataFrame:
+def split_quotas(classes: DataFrame, test_share: float = TEST_SHARE) -> DataFrame:
     """Training rows per class: proportional, floored, the rest to the largest remainders.
-
-    ``counts`` has one row per class, so the window over it is small.
-    """
+    ``classes`` has one row (label, n) per class, so the windows over it are small."""
     every = Window.partitionBy()
-    total = F.sum("n").over(every)
-    train = total - F.ceil(total * F.lit(test_share))
-    exact = F.col("n") * train / total
-    by_rest = Window.orderBy(F.col("rest").desc(), F.col(label))
+    train = F.sum("n").over(every) - F.ceil(F.sum("n").over(every) * F.lit(test_share))
+    exact = F.col("n") * F.col("train_total") / F.sum("n").over(every)
+    by_rest = Window.orderBy((F.col("exact") - F.col("base")).desc(), F.col("label"))
     return (
-        counts.withColumn("train_total", train)
+        classes.withColumn("train_total", train)
         .withColumn("exact", exact)
         .withColumn("base", F.floor("exact"))
-        .withColumn("rest", F.col("exact") - F.col("base"))
-        .withColumn("place", F.row_number().over(by_rest))
-        .withColumn("missing", F.col("train_total") - F.sum("base").over(every))
-        .select(label, "n", (
-            F.col("base") + F.when(F.col("place") <= F.col("missing"), 1).otherwise(0)
+        .withColumns({
+            "place": F.row_number().over(by_rest),
+            "missing": F.col("train_total") - F.sum("base").over(every),
+        })
+        .select("label", "n", (
+            F.col("base") + (F.col("place") <= F.col("missing")).cast("int")
         ).cast("long").alias("train_n"))
     )
 
 
-def _limits(df: DataFrame, label: str, key: Sequence[str], seed: int, ranks) -> DataFrame:
-    """Per class, the ascending hashes at the wanted ranks (array ``limits``)."""
-    hashed = df.select(label, order_hash(key, seed).alias("h"))
-    picked = pick_ranks(hashed, ["h"], ranks, by=[label])
-    return picked.groupBy(label).agg(F.sort_array(F.collect_list("value")).alias("limits"))
+def _single(rank: Column) -> Column:
+    return F.array(F.struct(F.lit(0).alias("id"), rank.cast("long").alias("rank")))
 
 
-def _apply(
-    df: DataFrame, limits: DataFrame, label: str, key: Sequence[str], seed: int, parts: int
-) -> DataFrame:
-    """Add ``__part``: the number of limits (at most ``parts - 1``) below the row's hash."""
-    joined = attach(df, limits, [label], null_safe=True)
+def _limits(picked: DataFrame) -> DataFrame:
+    """Per class, the ascending hashes at the wanted ranks."""
+    return picked.groupBy("label").agg(F.sort_array(F.collect_list("value")).alias("__limits"))
+
+
+def _part(df: DataFrame, label: str, key: Sequence[str], seed: int, limits: DataFrame, parts: int) -> DataFrame:
+    """Add ``__part``: the number of limits (at most ``parts - 1``) below the row's hash. A class
+    without any limit gets null."""
+    joined = attach(df, limits.withColumnRenamed("label", label), [label], null_safe=True)
     h = order_hash(key, seed)
     part = F.lit(0)
     for i in range(parts - 1):
-        part = part + F.coalesce((h > F.get("limits", F.lit(i))).cast("int"), F.lit(0))
-    return joined.withColumn("__part", part).drop("limits")
+        part = part + F.coalesce((h > F.get("__limits", F.lit(i))).cast("int"), F.lit(0))
+    return joined.withColumn("__part", F.when(F.col("__limits").isNotNull(), part)).drop("__limits")
 
 
 def stratified_split(
@@ -72,27 +75,16 @@ def stratified_split(
 ) -> DataFrame:
     """Add a boolean: is the row in the test part? Class sizes are exact for unique keys."""
     key = list(key or df.columns)
-    quotas = {
-        row[label]: row["train_n"]
-        for row in split_quotas(class_counts(df, label), label, test_share).collect()
-    }  # one row per class
-
-    def parts(side: str) -> Column:
-        expr = F
-        for value, train_n in quotas.items():
-            expr = expr.when(F.col(label).eqNullSafe(F.lit(value)), F.lit(train_n))
-        return expr.otherwise(F.lit(0)).alias(side)
-
-    limits = _limits(df, label, key, seed, lambda n: F.array(
-        F.struct(F.lit(0).alias("id"), parts("rank").cast("long").alias("rank"))
-    ))
-    split = _apply(df, limits, label, key, seed, parts=2)
+    hashed = _hashed(df, F.col(label), key, seed)
+    counted = count_chunks(hashed, ["label"])
+    quotas = split_quotas(counted.select("label", "n").distinct(), test_share).drop("n")
+    quotas = quotas.withColumnRenamed("label", "__label")
+    same = F.col("label").eqNullSafe(F.col("__label"))
+    with_quota = counted.join(F.broadcast(quotas), same).drop("__label")  # one row per class
+    located = locate(with_quota, _single(F.col("train_n"))).drop("train_n")
+    split = _part(df, label, key, seed, _limits(resolve(hashed, ["label"], located)), parts=2)
     # a class without training quota has no limit and belongs to the test part
-    has_quota = F.lit(False)
-    for value, train_n in quotas.items():
-        if train_n > 0:
-            has_quota = has_quota | F.col(label).eqNullSafe(F.lit(value))
-    return split.withColumn(name, (F.col("__part") > 0) | ~has_quota).drop("__part")
+    return split.withColumn(name, F.coalesce(F.col("__part") > 0, F.lit(True))).drop("__part")
 
 
 def stratified_folds(
@@ -101,26 +93,26 @@ def stratified_folds(
 ) -> DataFrame:
     """Add a fold number 0..folds-1; within a class, fold sizes differ by at most one."""
     key = list(key or df.columns)
+    hashed = _hashed(df, F.col(label), key, seed)
+    ranks = F.array(*[
+        F.struct(F.lit(i).alias("id"), F.floor(F.col("n") * i / folds).cast("long").alias("rank"))
+        for i in range(1, folds)
+    ])
+    located = locate(count_chunks(hashed, ["label"]), ranks)
+    parted = _part(df, label, key, seed, _limits(resolve(hashed, ["label"], located)), folds)
+    return parted.withColumn(name, F.coalesce("__part", F.lit(0))).drop("__part")
 
-    def ranks(n: Column) -> Column:
-        return F.array(*[
-            F.struct(F.lit(i).alias("id"), F.floor(n * i / folds).cast("long").alias("rank"))
-            for i in range(1, folds)
-        ])
 
-    limits = _limits(df, label, key, seed, ranks)
-    return _apply(df, limits, label, key, seed, folds).withColumnRenamed("__part", name)
+def hash_limit(df: DataFrame, rows: int, key: Sequence[str], seed: int = SEED) -> Column:
+    """The hash at rank ``rows``: exactly so many rows (of unique keys) have no larger one."""
+    hashed = _hashed(df, F.lit(0), key, seed)
+    located = locate(count_chunks(hashed, ["label"]), _single(F.least(F.lit(rows), F.col("n"))))
+    return resolve(hashed, ["label"], located).agg(F.max("value")).scalar()
 
 
-def draw(
-    df: DataFrame, rows: int, key: Sequence[str] | None = None, seed: int = SEED
-) -> DataFrame:
+def draw(df: DataFrame, rows: int, key: Sequence[str] | None = None, seed: int = SEED) -> DataFrame:
     """Exactly ``rows`` rows (of unique keys), chosen by hash order."""
     key = list(key or df.columns)
     if rows <= 0:
         return df.limit(0)
-    h = order_hash(key, seed)
-    limit = pick_ranks(df.select(h.alias("h")), ["h"], lambda n: F.array(
-        F.struct(F.lit(0).alias("id"), F.least(F.lit(rows).cast("long"), n).alias("rank"))
-    ))
-    return df.filter(h <= limit.agg(F.max("value")).scalar())
+    return df.filter(order_hash(key, seed) <= hash_limit(df, rows, key, seed))

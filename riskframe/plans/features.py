@@ -14,7 +14,7 @@ from riskframe.functions.fixed import (
 )
 from riskframe.operators import encode, joins, profile, rates, stratify
 from riskframe.operators.calendar import add_holiday_features
-from riskframe.operators.ranks import medians
+from riskframe.operators.ranks import median_of_counts, medians
 from riskframe.session import settle
 from riskframe.sources.tables import require_columns
 
@@ -45,34 +45,36 @@ def add_patient_features(df: DataFrame) -> DataFrame:
     """Age band, BMI band, number of lab values, list lengths. ``bmi_missing`` tells whether
     there was any text, before it is read as a number."""
     labs = [c for c in LAB_COLUMNS if c in df.columns]
-    present = profile.horizontal_present(labs)
-    age = clean.to_number("age")
+    # numbers are parsed once, in a projection of their own
+    df = df.withColumns({"age": clean.to_number("age"), "__bmi": clean.to_number("bmi"),
+                         "num_existing_labs": profile.horizontal_present(labs)})
     return df.withColumns({
-        "age": age,
-        "age_decade": dates.decade(age),
+        "age_decade": dates.decade("age"),
         "bmi_missing": F.col("bmi").isNull(),
-        "bmi_category": bins.bin_label(clean.to_number("bmi"), BMI_EDGES, BMI_LABELS),
-        "num_existing_labs": present,
-        "has_missing_labs": present < len(labs) if labs else F.lit(True),
+        "bmi_category": bins.bin_label("__bmi", BMI_EDGES, BMI_LABELS),
+        "has_missing_labs": F.col("num_existing_labs") < len(labs) if labs else F.lit(True),
         "num_medications": text.count_items("medications"),
         "num_diagnoses": text.count_items("diagnoses"),
-    })
+    }).drop("__bmi")
 
 
 def add_city_cluster(df: DataFrame, city_dim: DataFrame, key: str = "city", value: str = "cluster") -> DataFrame:
     """City cluster by normalised name; unknown cities get the median over all rows."""
     named = city_dim.withColumn("socioeconomic_cluster", clean.to_number(value))
     joined = joins.lookup(df, key, named, key, ["socioeconomic_cluster"])
-    middle, _ = settle(medians(joined, ["socioeconomic_cluster"]))
+    counts, small = settle(
+        joined.groupBy(F.col("socioeconomic_cluster").alias("value")).agg(F.count("*").alias("cnt"))
+    )
+    middle = median_of_counts(counts) if small else medians(joined, ["socioeconomic_cluster"])
+    middle, _ = settle(middle)
     return joined.withColumn("socioeconomic_cluster", F.coalesce("socioeconomic_cluster", middle.scalar()))
 
 
 def add_place_and_distance(df: DataFrame) -> DataFrame:
-    distance = clean.to_number("distance_km")
+    df = df.withColumn("distance_km", clean.to_number("distance_km"))
     return df.withColumns({
         "site_room": text.site_room("surgery_site", "room"),
-        "distance_km": distance,
-        "distance_bucket": bins.bin_label(distance, DISTANCE_EDGES, bins.DISTANCE_LABELS),
+        "distance_bucket": bins.bin_label("distance_km", DISTANCE_EDGES, bins.DISTANCE_LABELS),
     })
 
 

@@ -22,6 +22,9 @@ def build_session(app: str = "riskframe", master: str | None = None, **conf: obj
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
+        # methods above this size are not compiled by the JIT; wide projections then run faster
+        # operator by operator
+        "spark.sql.codegen.hugeMethodLimit": "8000",
     }
     settings.update({k.replace("__", "."): str(v) for k, v in conf.items()})
     for key, value in settings.items():
