@@ -53,6 +53,11 @@ def threshold_grid() -> list[float]:
     return [GRID_START + i * GRID_STEP for i in range(GRID_POINTS)]
 
 
+def number_array(values: Sequence[float]) -> Column:
+    """A constant array of doubles, parsed at once instead of built element by element."""
+    return F.expr("array(" + ", ".join(f"{float(v)!r}D" for v in values) + ")")
+
+
 def predicted(score: Column | str, threshold: Column | float) -> Column:
     """1 where the score reaches the threshold."""
     limit = threshold if isinstance(threshold, Column) else F.lit(float(threshold))

@@ -15,6 +15,7 @@ from riskframe.functions.fixed import (
     CATEGORICAL_FEATURES, INFREQUENT_SUFFIX, MIN_CATEGORY_ROWS, NOT_FEATURES, NUMERIC_FEATURES,
 )
 from riskframe.operators.joins import attach
+from riskframe.operators.projection import melt
 from riskframe.operators.ranks import medians
 from riskframe.session import settle
 
@@ -49,18 +50,14 @@ def scaling_params(train: DataFrame, columns: Sequence[str]) -> DataFrame:
     (1 where there is no spread). One row per column; an all-null column has a null median."""
     middle, _ = settle(medians(train, columns))
     row = middle.first() or {}
-    filled = F.array(*[
-        F.struct(
-            F.lit(i).alias("position"), F.lit(c).alias("column"),
-            F.lit(row[c]).cast("double").alias("median"), F.coalesce(nan_to_null(c), F.lit(row[c])).alias("value"),
-        )
-        for i, c in enumerate(columns)
-    ])
+    filled = {str(i): F.coalesce(nan_to_null(c), F.lit(row[c])) for i, c in enumerate(columns)}
+    place = F.col("position").cast("int")
+    names, middles = F.array(*[F.lit(c) for c in columns]), F.array(*[F.lit(row[c]).cast("double") for c in columns])
     spread = F.stddev_pop("value")
     return (
-        train.select(F.explode(filled).alias("cell")).select("cell.*")
-        .groupBy("position", "column", "median")
+        melt(train, filled, "position").groupBy("position")
         .agg(F.avg("value").alias("mean"), F.when(spread == 0, 1.0).otherwise(spread).alias("scale"))
+        .select(place.alias("position"), F.get(names, place).alias("column"), F.get(middles, place).alias("median"), "mean", "scale")
     )
 
 
@@ -73,11 +70,8 @@ def vocabulary(
     counted in one pass. The slot order needs the *names* per column sorted: they are the
     width of the model, not of the data.
     """
-    cells = F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("category")) for c in columns
-    ])
     counts = (
-        train.select(F.explode(cells).alias("cell")).select("cell.*")
+        melt(train, {c: F.col(c).cast("string") for c in columns}, "column", value="category")
         .filter(F.col("category").isNotNull())
         .groupBy("column", "category").agg(F.count("*").alias("n"))
     )
@@ -112,10 +106,7 @@ def names_or_generic(names: Sequence[str], width: int) -> list[str]:
 
 def one_hot_long(df: DataFrame, key: str, columns: Sequence[str], vocab: DataFrame) -> DataFrame:
     """Encoding in long form: one row (key, column, name) per known category of a row."""
-    cells = F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("category")) for c in columns
-    ])
-    long = df.select(key, F.explode(cells).alias("cell")).select(key, "cell.*")
+    long = melt(df, {c: F.col(c).cast("string") for c in columns}, "column", [key], "category")
     known = attach(long, vocab.select("column", "category", "name"), ["column", "category"], how="inner")
     return known.select(key, "column", "name")
 

@@ -10,7 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from riskframe.functions.bins import curve_f1, predicted, ratio, threshold_grid, with_position
+from riskframe.functions.bins import curve_f1, number_array, predicted, ratio, threshold_grid, with_position
 from riskframe.functions.fixed import GRID_POINTS
 from riskframe.operators.ranks import prefix_sums
 
@@ -172,7 +172,7 @@ def threshold_sweep(scored: DataFrame, label: str, score: str, by: Sequence[str]
     Each score is placed in the grid once; counts per grid cell (at most 92 per group) are then
     summed from above. Scores and thresholds are never paired.
     """
-    grid = F.array(*[F.lit(t) for t in threshold_grid()])
+    grid = number_array(threshold_grid())
     rows = scored.filter(F.col(score).isNotNull()).select(
         *by, F.col(label).alias("y"), F.col(score).cast("double").alias("s")
     )

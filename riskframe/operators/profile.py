@@ -13,6 +13,7 @@ from riskframe.functions.bins import ratio
 from riskframe.functions.clean import flag_or_false, nan_to_null, outside
 from riskframe.functions.fixed import MISSING
 from riskframe.operators.joins import attach
+from riskframe.operators.projection import melt
 from riskframe.operators.ranks import quantiles
 from riskframe.session import settle
 
@@ -37,11 +38,8 @@ def distinct_counts(df: DataFrame, columns: Sequence[str], approximate: bool = F
     if approximate:
         wide = df.agg(*[F.approx_count_distinct(c).alias(f"n_distinct__{c}") for c in columns])
         return unfold(wide, columns, ["n_distinct"])
-    cells = F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns
-    ])
     return (
-        df.select(F.explode(cells).alias("cell")).select("cell.*").distinct()
+        melt(df, {c: F.col(c).cast("string") for c in columns}, "column").distinct()
         .groupBy("column").agg(F.count("value").alias("n_distinct"))
     )
 
@@ -204,13 +202,9 @@ def rate_by_category(
 
 def rate_by_flag(df: DataFrame, flags: Sequence[str], target: str) -> DataFrame:
     """Target rate and rows for both values of several flags; a missing flag counts as false."""
-    cells = F.array(*[
-        F.struct(F.lit(f).alias("flag"), flag_or_false(f).alias("value")) for f in flags
-    ])
-    return (
-        df.select(F.explode(cells).alias("cell"), F.col(target).cast("int").alias("y"))
-        .groupBy("cell.flag", "cell.value").agg(F.avg("y").alias("rate"), F.count("y").alias("n"))
-    )
+    rows = df.withColumn("__y", F.col(target).cast("int"))
+    long = melt(rows, {f: flag_or_false(f) for f in flags}, "flag", ["__y"])
+    return long.groupBy("flag", "value").agg(F.avg("__y").alias("rate"), F.count("__y").alias("n"))
 
 
 def rate_profile(
@@ -224,14 +218,11 @@ def rate_profile(
     A per-column top-k needs at most ``max(full_up_to, top)`` rows per column; the rank filter
     is applied before the shuffle, so no task sees all values of a column.
     """
-    cells = F.array(*[
-        F.struct(F.lit(c).alias("column"), F.coalesce(F.col(c).cast("string"), F.lit(MISSING)).alias("value"))
-        for c in columns
-    ])
+    rows = df.withColumn("__y", F.col(target).cast("int"))
+    values = {c: F.coalesce(F.col(c).cast("string"), F.lit(MISSING)) for c in columns}
     rates = (
-        df.select(F.explode(cells).alias("cell"), F.col(target).cast("int").alias("y"))
-        .groupBy("cell.column", "cell.value")
-        .agg(F.avg("y").alias("rate"), F.count("*").alias("n"))
+        melt(rows, values, "column", ["__y"]).groupBy("column", "value")
+        .agg(F.avg("__y").alias("rate"), F.count("*").alias("n"))
     )
     sizes = F.broadcast(rates.groupBy("column").agg(F.count("*").alias("n_distinct")))  # one row per column
     order = Window.partitionBy("column").orderBy(F.col("n").desc(), F.col("rate").desc(), "value")

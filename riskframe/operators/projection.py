@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import NumericType, StringType
 
 from riskframe.functions.text import is_blank
@@ -48,3 +48,15 @@ def first_texts(df: DataFrame, column: str, key: str, n: int = 5) -> DataFrame:
 def preview(df: DataFrame, columns: Sequence[str], key: str, n: int = 5) -> DataFrame:
     """Selected columns of the first rows in key order."""
     return select_existing(df, columns).orderBy(F.col(key)).limit(n)
+
+
+def melt(
+    df: DataFrame, values: Mapping[str, Column], name: str, by: Sequence[str] = (), value: str = "value"
+) -> DataFrame:
+    """Several expressions of one type as rows (by..., name, value), one per expression and row.
+    The rows are expanded in place, for an aggregation to shrink them again before a shuffle."""
+    named = {f"__melt_{k}": expr for k, expr in values.items()}
+    wide = df.select(*by, *[expr.alias(k) for k, expr in named.items()])
+    return wide.unpivot(list(by), list(named), "__name", value).select(
+        *by, F.substring("__name", 8, 1_000).alias(name), value
+    )

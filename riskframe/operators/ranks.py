@@ -12,8 +12,9 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from riskframe.functions.bins import with_position
+from riskframe.functions.bins import number_array, with_position
 from riskframe.functions.clean import nan_to_null
+from riskframe.operators.projection import melt
 from riskframe.session import SMALL_ROWS, parallelism, settle, stage
 
 
@@ -24,7 +25,7 @@ def chunk_count(df: DataFrame) -> int:
 
 def cut_points(column: Column, chunks: int) -> Column:
     """Ascending cut points of a column, as an aggregate."""
-    shares = F.array(*[F.lit(i / chunks) for i in range(1, chunks)])
+    shares = number_array([i / chunks for i in range(1, chunks)])
     return F.percentile_approx(column, shares, F.lit(10 * chunks))
 
 
@@ -41,15 +42,15 @@ def with_chunk(df: DataFrame, column: str, name: str, chunks: int, of: DataFrame
 # --- order statistics: count per chunk, locate ranks, resolve -------------------------
 
 
-def count_chunks(long: DataFrame, group: Sequence[str]) -> DataFrame:
-    """Rows per group and chunk with the rows before it and the group's total. One pass; the
-    result has at most groups x chunks rows."""
-    counted, _ = settle(long.groupBy(*group, "chunk").agg(F.count("*").alias("cnt")))
+def count_chunks(long: DataFrame, group: Sequence[str]) -> tuple[DataFrame, bool]:
+    """Rows per group and chunk with the rows before it and the group's total, and whether that
+    table is small. One pass; the result has at most groups x chunks rows."""
+    counted, small = settle(long.groupBy(*group, "chunk").agg(F.count("*").alias("cnt")))
     running = Window.partitionBy(*group).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     return counted.withColumns({
         "before": F.coalesce(F.sum("cnt").over(running), F.lit(0)),
         "n": F.sum("cnt").over(Window.partitionBy(*group)),
-    })
+    }), small
 
 
 def locate(counted: DataFrame, ranks: Column) -> DataFrame:
@@ -58,10 +59,9 @@ def locate(counted: DataFrame, ranks: Column) -> DataFrame:
     return counted.withColumn("wanted", inside).filter(F.size("wanted") > 0).drop("cnt")
 
 
-def resolve(long: DataFrame, group: Sequence[str], located: DataFrame) -> DataFrame:
+def resolve(long: DataFrame, group: Sequence[str], located: DataFrame, small: bool) -> DataFrame:
     """Values at the located ranks: rows (group..., id, rank, n, value). Only the values of the
     located chunks are shuffled, equal ones merged."""
-    located, small = settle(located)
     keys = [*group, "chunk"]
     targets = located.withColumnsRenamed({k: f"__{k}" for k in keys})
     match = None
@@ -83,11 +83,8 @@ def resolve(long: DataFrame, group: Sequence[str], located: DataFrame) -> DataFr
 
 def long_form(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """Non-null numbers as rows (by..., column_no, value)."""
-    cells = F.array(*[
-        F.struct(F.lit(i).alias("column_no"), nan_to_null(c).alias("value")) for i, c in enumerate(columns)
-    ])
-    cells = F.filter(cells, lambda c: c["value"].isNotNull())
-    return df.select(*by, F.explode(cells).alias("cell")).select(*by, "cell.*")
+    long = melt(df, {str(i): nan_to_null(c) for i, c in enumerate(columns)}, "column_no", by)
+    return long.withColumn("column_no", F.col("column_no").cast("int")).filter(F.col("value").isNotNull())
 
 
 def quantiles(
@@ -95,28 +92,18 @@ def quantiles(
 ) -> DataFrame:
     """Exact quantiles with linear interpolation: rows (by..., column, share, value).
 
-    The first pass sketches cut points and the number of distinct values. Where these are few,
-    the second counts them and is the last; else it counts chunks, and a third pass sorts the
-    chunks that hold a wanted rank.
+    Three narrow passes: sketch the cut points of each column, count the values per chunk, then
+    sort the few chunks that hold a wanted rank.
     """
     chunks = chunk_count(df)
+    # an array of cut points per column, in column order; null for a column without values
+    sketch, _ = settle(df.agg(F.array(*[cut_points(nan_to_null(c), chunks) for c in columns]).alias("cuts")))
+    cuts = F.get(sketch.scalar(), F.col("column_no"))
+    long = with_position(long_form(df, columns, by), {"chunk": ("value", cuts)}, chunks)
     group = [*by, "column_no"]
-    long = long_form(df, columns, by)
-    sketch = {row["column_no"]: row for row in long.groupBy("column_no").agg(
-        cut_points(F.col("value"), chunks).alias("cuts"),
-        F.approx_count_distinct(F.xxhash64(*by, "value")).alias("distinct"),
-    ).collect()}  # one row per column
-    if sum(row["distinct"] for row in sketch.values()) <= SMALL_ROWS / 2:
-        counts, _ = settle(long.groupBy(*group, "value").agg(F.count("*").alias("cnt")))
-        picked = pick_from_counts(counts, group, _quantile_ranks(shares))
-    else:
-        # one array of cut points per column, in column order
-        none = F.array().cast("array<double>")
-        cuts = F.array(*[F.lit(sketch[i]["cuts"]) if i in sketch else none for i in range(len(columns))])
-        long = with_position(long, {"chunk": ("value", F.get(cuts, F.col("column_no")))}, chunks)
-        located = locate(count_chunks(long, group), _quantile_ranks(shares))
-        picked = resolve(long, group, located)
-    return _interpolate(picked, columns, shares, by)
+    counted, small = count_chunks(long, group)
+    located = locate(counted, _quantile_ranks(shares))
+    return _interpolate(resolve(long, group, located, small), columns, shares, by)
 
 
 def pick_from_counts(counts: DataFrame, group: Sequence[str], ranks: Column) -> DataFrame:

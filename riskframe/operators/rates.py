@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from riskframe.functions.fixed import FOLDS, NULL_TEXT
 from riskframe.operators.joins import attach
+from riskframe.operators.projection import melt
 from riskframe.operators.stratify import stratified_folds
 from riskframe.session import settle
 
@@ -55,14 +56,11 @@ class SmoothedRates:
 def _tally(df: DataFrame, columns: Mapping[str, str], target: str, extra: list[str]) -> DataFrame:
     """Positives and rows per category for all columns in one pass; partial aggregation keeps
     a hot category to one row per task."""
-    cells = F.array(*[
-        F.struct(F.lit(name).alias("rate_name"), _known(F.col(c)).alias("category"))
-        for name, c in columns.items()
-    ])
+    labelled = df.filter(F.col(target).isNotNull()).withColumn("__y", F.col(target).cast("int"))
+    categories = {name: _known(F.col(c)) for name, c in columns.items()}
     return (
-        df.filter(F.col(target).isNotNull())
-        .select(*extra, F.explode(cells).alias("cell"), F.col(target).cast("int").alias("__y"))
-        .select(*extra, "cell.*", "__y").filter(F.col("category").isNotNull())
+        melt(labelled, categories, "rate_name", [*extra, "__y"], "category")
+        .filter(F.col("category").isNotNull())
         .groupBy(*extra, "rate_name", "category")
         .agg(F.sum("__y").alias("positives"), F.count("*").alias("rows"))
     )

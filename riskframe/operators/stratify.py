@@ -76,13 +76,13 @@ def stratified_split(
     """Add a boolean: is the row in the test part? Class sizes are exact for unique keys."""
     key = list(key or df.columns)
     hashed = _hashed(df, F.col(label), key, seed)
-    counted = count_chunks(hashed, ["label"])
+    counted, small = count_chunks(hashed, ["label"])
     quotas = split_quotas(counted.select("label", "n").distinct(), test_share).drop("n")
     quotas = quotas.withColumnRenamed("label", "__label")
     same = F.col("label").eqNullSafe(F.col("__label"))
     with_quota = counted.join(F.broadcast(quotas), same).drop("__label")  # one row per class
     located = locate(with_quota, _single(F.col("train_n"))).drop("train_n")
-    split = _part(df, label, key, seed, _limits(resolve(hashed, ["label"], located)), parts=2)
+    split = _part(df, label, key, seed, _limits(resolve(hashed, ["label"], located, small)), parts=2)
     # a class without training quota has no limit and belongs to the test part
     return split.withColumn(name, F.coalesce(F.col("__part") > 0, F.lit(True))).drop("__part")
 
@@ -98,16 +98,18 @@ def stratified_folds(
         F.struct(F.lit(i).alias("id"), F.floor(F.col("n") * i / folds).cast("long").alias("rank"))
         for i in range(1, folds)
     ])
-    located = locate(count_chunks(hashed, ["label"]), ranks)
-    parted = _part(df, label, key, seed, _limits(resolve(hashed, ["label"], located)), folds)
+    counted, small = count_chunks(hashed, ["label"])
+    limits = _limits(resolve(hashed, ["label"], locate(counted, ranks), small))
+    parted = _part(df, label, key, seed, limits, folds)
     return parted.withColumn(name, F.coalesce("__part", F.lit(0))).drop("__part")
 
 
 def hash_limit(df: DataFrame, rows: int, key: Sequence[str], seed: int = SEED) -> Column:
     """The hash at rank ``rows``: exactly so many rows (of unique keys) have no larger one."""
     hashed = _hashed(df, F.lit(0), key, seed)
-    located = locate(count_chunks(hashed, ["label"]), _single(F.least(F.lit(rows), F.col("n"))))
-    return resolve(hashed, ["label"], located).agg(F.max("value")).scalar()
+    counted, small = count_chunks(hashed, ["label"])
+    located = locate(counted, _single(F.least(F.lit(rows), F.col("n"))))
+    return resolve(hashed, ["label"], located, small).agg(F.max("value")).scalar()
 
 
 def draw(df: DataFrame, rows: int, key: Sequence[str] | None = None, seed: int = SEED) -> DataFrame:

@@ -22,7 +22,7 @@ from riskframe.operators.joins import zip_arrays
 # --- fixed values: model settings -----------------------------------------------------
 BASELINE_BOOSTING = {"n_estimators": 200, "learning_rate": 0.1, "max_depth": 5, "subsample": 0.8, "colsample": 0.8}
 FOREST = {"n_estimators": 200, "max_depth": 10, "min_samples_leaf": 5}
-L1_LOGISTIC = {"C": 0.1, "max_iter": 1000}
+L1_LOGISTIC = {"C": 0.1, "max_iter": 1000, "tolerance": 1e-4}
 
 # --- fixed values: search spaces ------------------------------------------------------
 RANDOM_SEARCH_DRAWS = 60
@@ -105,6 +105,7 @@ def l1_logistic(total_weight: float, params: Mapping[str, object] = L1_LOGISTIC,
     return LogisticRegression(
         labelCol=label, weightCol=weight, elasticNetParam=1.0, standardization=False,
         regParam=1.0 / (params["C"] * total_weight), maxIter=params["max_iter"],
+        tol=params["tolerance"],
     )
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows up to which a fitted table may travel through the driver and be broadcast.
@@ -48,15 +49,20 @@ def settle(df: DataFrame, limit: int = SMALL_ROWS) -> tuple[DataFrame, bool]:
     """Run a fitted (aggregated) table once and say whether it is small.
 
     Up to ``limit`` rows it comes back as a local relation, so later uses neither recompute
-    it nor guess its size. A larger table never reaches the driver: it is checkpointed in the
-    shared folder and the caller joins it with a shuffle.
+    it nor guess its size. A larger table never reaches the driver: it is written to the shared
+    folder and the caller joins it with a shuffle. The cache in between only spares the second
+    computation; a lost executor costs time, not rows.
     """
-    spark = df.sparkSession
-    head = df.limit(limit + 1).toArrow()
-    if head.num_rows <= limit:
-        return spark.createDataFrame(head, schema=df.schema), True
-    shared_dir(spark)
-    return df.checkpoint(), False
+    own_cache = df.storageLevel == StorageLevel.NONE  # a cache of the caller stays
+    kept = df.persist(StorageLevel.MEMORY_AND_DISK) if own_cache else df
+    try:
+        head = kept.limit(limit + 1).toArrow()
+        if head.num_rows <= limit:
+            return df.sparkSession.createDataFrame(head, schema=df.schema), True
+        return stage(kept), False
+    finally:
+        if own_cache:
+            kept.unpersist()
 
 
 def stage(df: DataFrame) -> DataFrame:
