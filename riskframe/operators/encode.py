@@ -75,6 +75,7 @@ def vocabulary(
         .filter(F.col("category").isNotNull())
         .groupBy("column", "category").agg(F.count("*").alias("n"))
     )
+    counts, _ = settle(counts)  # read twice below
     rare = F.col("n") < min_rows
     own = F.concat_ws("_", "column", "category")
     shared = F.concat(F.col("column"), F.lit(INFREQUENT_SUFFIX))

@@ -1,7 +1,8 @@
 """Joins on keys that may be skewed, lookups, and key-set operations.
 
 A side is broadcast only after its rows have been counted (`session.settle`). Beyond that
-size the join shuffles, and keys that hold a large share of the left side are salted.
+size the join shuffles, and only the rows of the few keys that hold a large share of the left
+side are joined by broadcast.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from riskframe.functions.clean import key_text
-from riskframe.session import parallelism, settle
+from riskframe.session import settle
 
 #: A key is hot from this share of the rows on, provided it also has HOT_ROWS rows.
 HOT_SHARE = 1 / 500
@@ -51,42 +52,33 @@ def attach(
     left_anti).
 
     ``small`` is what `settle` said about the table; None settles it here. A large table is
-    joined by shuffle; rows of hot keys are then spread over salted copies of their few table
-    rows, so that no task receives a whole hot key.
+    joined by shuffle, except for hot keys: these are at most 1 / HOT_SHARE, so their table rows
+    are broadcast, and no task receives all left rows of such a key. Every left row goes one of
+    the two ways.
     """
     if small is None:
         table, small = settle(table)
     renamed = {k: f"__right_{k}" for k in keys}
     right = table.withColumnsRenamed(renamed)
-    pairs = [(k, renamed[k]) for k in keys]
-    if small:
-        right = F.broadcast(right)
-    else:
-        hot = hot_keys(df, keys) if hot is None else list(hot)
-        if hot:
-            df, right = _salted(df, right, keys, list(renamed.values()), hot)
-            pairs.append(("__salt", "__right_salt"))
     compare = Column.eqNullSafe if null_safe else Column.__eq__
-    condition = reduce(Column.__and__, [compare(F.col(a), F.col(b)) for a, b in pairs])
-    joined = df.join(right, condition, how)
-    return joined.drop(*[b for _, b in pairs], "__salt")
-
-
-def _salted(
-    left: DataFrame, right: DataFrame, left_keys: Sequence[str], right_keys: Sequence[str],
-    hot: list[int],
-) -> tuple[DataFrame, DataFrame]:
-    """Add a salt to both sides: hot left rows get one of n values from their own content (stable
-    under task retries), hot table rows are repeated for all n values."""
-    n = max(2, parallelism(left.sparkSession))
-    content = F.pmod(F.xxhash64(F.lit("salt"), *left.columns), F.lit(n)).cast("int")
-    left = left.withColumn(
-        "__salt", F.when(F.xxhash64(*left_keys).isin(hot), content).otherwise(F.lit(0))
+    condition = reduce(Column.__and__, [compare(F.col(a), F.col(b)) for a, b in renamed.items()])
+
+    def joined(left: DataFrame, part: DataFrame) -> DataFrame:
+        return left.join(part, condition, how).drop(*renamed.values())
+
+    if small:
+        return joined(df, F.broadcast(right))
+    left_types, right_types = dict(df.dtypes), dict(table.dtypes)
+    if any(left_types[k] != right_types[k] for k in keys):
+        return joined(df, right)  # hashes of different types cannot be compared
+    hot = hot_keys(df, keys) if hot is None else list(hot)
+    if not hot:
+        return joined(df, right)
+    left_hot = F.xxhash64(*keys).isin(hot)
+    right_hot = F.xxhash64(*renamed.values()).isin(hot)
+    return joined(df.filter(left_hot), F.broadcast(right.filter(right_hot))).unionByName(
+        joined(df.filter(~left_hot), right.filter(~right_hot))
     )
-    copies = F.when(
-        F.xxhash64(*right_keys).isin(hot), F.sequence(F.lit(0), F.lit(n - 1))
-    ).otherwise(F.array(F.lit(0)))
-    return left, right.withColumn("__right_salt", F.explode(copies))
 
 
 def key_set(log: DataFrame, key: str) -> DataFrame:

@@ -224,6 +224,7 @@ def rate_profile(
         melt(rows, values, "column", ["__y"]).groupBy("column", "value")
         .agg(F.avg("__y").alias("rate"), F.count("*").alias("n"))
     )
+    rates, _ = settle(rates)  # read twice below
     sizes = F.broadcast(rates.groupBy("column").agg(F.count("*").alias("n_distinct")))  # one row per column
     order = Window.partitionBy("column").orderBy(F.col("n").desc(), F.col("rate").desc(), "value")
     ranked = rates.withColumn("place", F.row_number().over(order))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from riskframe.functions.clean import key_text
 from riskframe.operators.joins import flag_members
+from riskframe.session import parallelism
 from riskframe.sources.tables import holiday_table
 
 #: Dates taken as holidays, each year of the orders.
@@ -64,10 +65,16 @@ def order_lines(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def orders_with_lines(spark: SparkSession, sf: str) -> DataFrame:
+def orders_with_lines(spark: SparkSession, sf: str, orders: DataFrame | None = None) -> DataFrame:
     """All orders with their line facts; null where an order has no lines."""
     lines = order_lines(spark, sf).withColumnRenamed("l_orderkey", "o_orderkey")
-    return table(spark, sf, "orders").join(lines, "o_orderkey", "left")
+    return (table(spark, sf, "orders") if orders is None else orders).join(lines, "o_orderkey", "left")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A scan that comes as a single partition (one file with one row group) over all shuffle
+    tasks, so that costly row work after it runs in parallel. Other scans are left alone."""
+    return df if df.rdd.getNumPartitions() > 1 else df.repartition(parallelism(df.sparkSession))
 
 
 def plans(spark: SparkSession, sf: str) -> DataFrame:
@@ -78,7 +85,8 @@ def plans(spark: SparkSession, sf: str) -> DataFrame:
     customer = table(spark, sf, "customer").select(
         F.col("c_custkey").alias("o_custkey"), "c_nationkey", "c_acctbal", "c_mktsegment"
     )
-    joined = orders_with_lines(spark, sf).join(part, "part", "left").join(customer, "o_custkey", "left")
+    orders = spread(table(spark, sf, "orders"))
+    joined = orders_with_lines(spark, sf, orders).join(part, "part", "left").join(customer, "o_custkey", "left")
     lab = lambda value, low: F.when(value >= low, value.cast("double"))
     return joined.select(
         key_text("o_orderkey").alias("plan_id"), key_text("o_custkey").alias("patient_id"),

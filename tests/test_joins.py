@@ -24,7 +24,7 @@ def test_all_ways_to_attach_agree(spark, small, hot, how):
     assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
 
 
-def test_null_safe_attach_with_salt(spark):
+def test_null_safe_attach_with_hot_keys(spark):
     left, right = tables(spark)
     right = right.unionByName(spark.createDataFrame([(None, 9)], "k string, v int"))
     hot = joins.hot_keys(left, ["k"], share=0.005, min_rows=1)
@@ -67,3 +67,19 @@ def test_union_fills_missing_columns(spark):
     a = spark.createDataFrame([("m1", 0.5)], "name string, x double")
     b = spark.createDataFrame([("m2",)], "name string")
     assert {r["name"]: r["x"] for r in joins.union_rows([a, b]).collect()} == {"m1": 0.5, "m2": None}
+
+
+def test_keys_of_different_types_still_join(spark):
+    left = spark.createDataFrame([(i % 3,) for i in range(30)], "k int")
+    right = spark.createDataFrame([(0, "a"), (1, "b")], "k long, v string")
+    got = joins.attach(left, right, ["k"], small=False, hot=[left.select(F.xxhash64("k")).first()[0]])
+    assert got.filter("v = 'a'").count() == 10 and got.filter("v is null").count() == 10
+
+
+def test_hot_duplicates_are_all_kept(spark, monkeypatch):
+    from riskframe.operators import profile
+    df = spark.createDataFrame([("x", 1)] * 50 + [("y", None)] * 2 + [(f"k{i}", i) for i in range(40)], "a string, b int")
+    monkeypatch.setattr(profile, "settle", lambda t: (t, False))
+    monkeypatch.setattr(joins, "HOT_ROWS", 1)
+    monkeypatch.setattr(joins, "hot_keys", lambda d, k: [d.filter("a = 'x'").select(F.xxhash64(*k)).first()[0]])
+    assert profile.duplicate_members(df).count() == 52
