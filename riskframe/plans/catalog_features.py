@@ -245,9 +245,18 @@ def feature_names(spark, sf) -> DataFrame:
     return names.withColumn("position", F.col("position").cast("long"))
 
 
+_MATRICES: dict[tuple[str, str], features.Matrices] = {}
+
+
 def model_matrices(spark, sf) -> features.Matrices:
-    prepared, spec = features.prepare(engineered(spark, sf))
-    return features.build_matrices(stage(prepared), spec)
+    """Matrices of the plan table, written once per application and folder: the model queries
+    hand them over by files, as the steps of an analysis do."""
+    at = (spark.sparkContext.applicationId, sf)
+    if at not in _MATRICES:
+        prepared, spec = features.prepare(engineered(spark, sf))
+        built = features.build_matrices(stage(prepared), spec)
+        _MATRICES[at] = features.Matrices(stage(built.data), built.preprocessor, spec)
+    return _MATRICES[at]
 
 
 @query()

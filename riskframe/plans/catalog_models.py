@@ -214,7 +214,7 @@ class _Data:
 
     def __init__(self, spark, sf, scheme: str = "positive"):
         matrices = model_matrices(spark, sf)
-        rows = stage(matrices.data.withColumnRenamed("was_canceled", "label"))
+        rows = matrices.data.withColumnRenamed("was_canceled", "label")
         self.train = tr.weighted(rows.filter("not is_test"), "label", scheme)
         self.test = rows.filter("is_test")
         self.names = [r["name"] for r in matrices.preprocessor.names().orderBy("position").collect()]
