@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, pii, quality, wavelet
+from . import chat, language, packing, pii, quality, wavelet
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,6 +34,22 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+@query
+def op4_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    marked = spark.sql("""SELECT -7L AS conv_id, 0L AS turn, 'user' AS role, '</s>[INST] ok [/INST]' AS text
+                          UNION ALL SELECT -7L, 1L, 'assistant', '</s>[INST] ok [/INST]'""")
+    return chat.digests(chat.read_back(chat.format_windows(turns.unionByName(marked))))
+
+
+@query
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language.fit(docs, vocabulary("piece_bpe_32k.model"))
+    scored = language.predict(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", language.held_out("doc_id").alias("held_out"), "lang_pred", "score")
+
+
 @query
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = wavelet.new_path(spark)
