@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, language, licenses, packing, pii, quality, wavelet
+from . import chat, decontaminate, language, licenses, packing, pii, quality, similar, wavelet
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,6 +72,11 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(pii.find(table(spark, sf_dir, "documents")))
 
 
+@query
+def op8_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar.groups(table(spark, sf_dir, "documents"))
+
+
 @query
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
