@@ -30,17 +30,6 @@ def run_hashes(hashes: np.ndarray, size: int, seed: int = 0) -> np.ndarray:
     return out
 
 
-def rolling_hashes(hashes: np.ndarray, size: int, base: int) -> np.ndarray:
-    """Like ``run_hashes`` for long runs: a polynomial with odd ``base`` over prefix sums, modulo 2**64."""
-    n = len(hashes)
-    if n < size:
-        return np.zeros(0, dtype=np.uint64)
-    powers = np.cumprod(np.full(n, base, dtype=np.uint64))
-    inverse = np.cumprod(np.full(n - size + 1, pow(base, -1, 1 << 64), dtype=np.uint64))
-    sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(mix(hashes) * powers, dtype=np.uint64)])
-    return mix((sums[size:] - sums[:-size]) * inverse)
-
-
 def set_fingerprint(hashes: np.ndarray) -> bytes:
     """128 bits that stand for a set of hashes, in any order."""
     parts = [np.sum(mix(hashes ^ np.uint64(c)), dtype=np.uint64) + np.uint64(len(hashes)) for c in (0x5851F42D4C957F2D, 0x14057B7EF767814F)]

@@ -5,9 +5,9 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, decontaminate, language, licenses, packing, pii, quality, similar, wavelet
+from . import chat, decontaminate, language, licenses, packing, pii, quality, repeats, similar, wavelet
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,6 +77,12 @@ def op8_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar.groups(table(spark, sf_dir, "documents"))
 
 
+@query
+def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = repeats.remove(table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 @query
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
