@@ -42,31 +42,35 @@ def shingle_hash(array: str, at: Column) -> Column:
     return F.xxhash64(*(F.get(F.col(array), at + i) for i in range(SHINGLE)))
 
 
-def shingles(array: str) -> Column:
-    return F.transform(F.sequence(F.lit(1), F.size(array) - (SHINGLE - 1)), lambda i: F.array_join(F.slice(array, i, SHINGLE), " "))
-
-
 def small_enough(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Marked for broadcast if a count says so. Pass a written table."""
     return F.broadcast(df) if df.count() <= limit else df
 
 
-def weighted(keyed: DataFrame, key: str, weights: DataFrame) -> DataFrame:
-    """key, words -> key, shingle, n, q: counts and weights of the shingles of each key. A shingle of no
-    item has the highest weight."""
-    counted = keyed.select(key, F.explode(shingles("words")).alias("shingle")).groupBy(key, "shingle").agg(F.count("*").alias("n"))
-    return counted.join(weights, "shingle", "left").select(key, "shingle", "n", F.coalesce("q", F.lit(MAX_WEIGHT)).cast("long").alias("q"))
+def weight(q: str = "q") -> Column:
+    """A shingle of no item has the highest weight."""
+    return F.coalesce(F.col(q), F.lit(MAX_WEIGHT)).cast("long")
+
+
+def counted(keyed: DataFrame, key: str, weights: DataFrame) -> DataFrame:
+    """key, words -> key, shingle, n, q: counts and weights of the shingles of each key."""
+    rows = keyed.select(key, "words", F.explode(F.sequence(F.lit(0), F.size("words") - SHINGLE)).alias("at")).select(
+        key, F.array_join(F.slice("words", F.col("at") + 1, SHINGLE), " ").alias("shingle"), shingle_hash("words", F.col("at")).alias("h"))
+    return rows.groupBy(key, "shingle", "h").agg(F.count("*").alias("n")).join(weights, "h", "left").select(key, "shingle", "n", weight().alias("q"))
 
 
-def fingerprints(weighted_shingles: DataFrame, key: str) -> DataFrame:
-    """key, fp, total. Four bits of the hash at a time are spread into lanes of 16 bits, so sixteen
-    sums hold the votes of all 64 bits."""
-    h, nq = F.xxhash64("shingle", F.lit(3)), F.col("n") * F.col("q")
+def fingerprints(keyed: DataFrame, key: str, weights: DataFrame) -> DataFrame:
+    """key, words -> key, fp, total. Four bits of a shingle's hash at a time are spread into lanes of 16
+    bits, so sixteen sums hold the votes of all 64 bits. A row's shingles are summed where they are
+    made; only the sums are exchanged."""
+    votes = keyed.select(key, "words", F.posexplode("words").alias("at", "word")).filter(F.col("at") <= F.size("words") - SHINGLE).select(
+        key, shingle_hash("words", F.col("at")).alias("h")).join(weights, "h", "left").select(key, F.xxhash64("h", F.lit(3)).alias("h"), weight().alias("q"))
+    h, q = F.col("h"), F.col("q")
     lanes = [
-        F.sum((((F.shiftrightunsigned(h, 4 * g).bitwiseAND(F.lit(15))) * F.lit(0x0000200040008001)).bitwiseAND(F.lit(0x0001000100010001))) * nq)
+        F.sum((((F.shiftrightunsigned(h, 4 * g).bitwiseAND(F.lit(15))) * F.lit(0x0000200040008001)).bitwiseAND(F.lit(0x0001000100010001))) * q)
         .alias(f"v{g}") for g in range(16)
     ]
-    votes = weighted_shingles.groupBy(key).agg(*lanes, F.sum(nq).alias("total"))
+    votes = votes.groupBy(key).agg(*lanes, F.sum("q").alias("total"))
     bit = lambda g, i: F.when(
         F.shiftrightunsigned(f"v{g}", 16 * i).bitwiseAND(F.lit(0xFFFF)) * 2 > F.col("total"), F.shiftleft(F.lit(1).cast("long"), 4 * g + i)).otherwise(F.lit(0).cast("long"))
     fp = bit(0, 0)
@@ -85,36 +89,36 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
             item_text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """One row per document and item found in it: doc_id, item_id, similarity, start_word (of the most
     similar window, the first of equal ones), n_words."""
-    spark = docs.sparkSession
     known = staged(items.select(F.col(item_col).alias("item_id"), words(F.col(item_text_col)).alias("words"), F.monotonically_increasing_id().alias("item"))
                    .filter(F.size("words") >= SHINGLE))
     n_items = known.count()
-    weights = staged(known.select("item", F.explode(F.array_distinct(shingles("words"))).alias("shingle")).groupBy("shingle").count().select(
-        "shingle", F.least(F.lit(MAX_WEIGHT), 1 + F.floor(F.log2(F.lit(float(max(1, n_items))) / F.col("count")))).alias("q")))
-    item_shingles = staged(weighted(known.select("item", "words"), "item", weights))
-    item_prints = staged(fingerprints(item_shingles, "item"))
-    anchors = staged(known.select("words", F.size("words").alias("w_words"), F.explode(F.sequence(F.lit(0), F.size("words") - SHINGLE)).alias("at")).select(
-        shingle_hash("words", F.col("at")).alias("anchor"), "w_words").distinct())
+    item_rows = staged(known.select("item", "words", F.size("words").alias("w_words"), F.explode(F.sequence(F.lit(0), F.size("words") - SHINGLE)).alias("at")).select(
+        "item", shingle_hash("words", F.col("at")).alias("anchor"), "w_words").distinct())
+    weights = staged(item_rows.groupBy("anchor").count().select(
+        F.col("anchor").alias("h"), F.least(F.lit(MAX_WEIGHT), 1 + F.floor(F.log2(F.lit(float(max(1, n_items))) / F.col("count")))).alias("q")))
+    item_shingles = staged(counted(known.select("item", "words"), "item", weights))
+    item_prints = staged(fingerprints(known.select("item", "words"), "item", small_enough(weights)))
+    anchors = staged(item_rows.select("anchor", "w_words").distinct())
 
     # every shingle of every document against the shingles of the items
     cut = docs.select(F.col(id_col).cast("long").alias("doc_id"), words(F.col(text_col)).alias("words")).filter(F.size("words") >= SHINGLE)
     placed = cut.select("doc_id", "words", F.posexplode("words").alias("at", "word")).filter(F.col("at") <= F.size("words") - SHINGLE)
     hit = placed.select("doc_id", "words", "at", shingle_hash("words", F.col("at")).alias("h")).join(small_enough(anchors), F.col("h") == F.col("anchor"))
     hits = staged(hit.select("doc_id", F.col("at").cast("long").alias("at"), F.slice("words", F.col("at") + 1, F.col("w_words")).alias("words")).withColumn(
-        "window", F.sha2(F.array_join("words", " ").cast("binary"), 256)))
+        "window", F.unhex(F.sha2(F.array_join("words", " ").cast("binary"), 256))))
     windows = staged(hits.groupBy("window").agg(F.first("words").alias("words")))
 
-    window_shingles = staged(weighted(windows, "window", small_enough(weights)))
-    prints = fingerprints(window_shingles, "window").select("window", F.col("fp").alias("w_fp"), F.col("total").alias("w_total"))
-    changes = spark.range(1 << BLOCK_BITS).filter(F.bit_count("id") <= RADIUS // BLOCKS).select(F.col("id").alias("change"))
-    index = item_prints.select("item", "fp", "total", F.explode(blocks("fp")).alias("b")).crossJoin(F.broadcast(changes)).select(
+    prints = fingerprints(windows, "window", small_enough(weights)).select("window", F.col("fp").alias("w_fp"), F.col("total").alias("w_total"))
+    changes = F.explode(F.filter(F.sequence(F.lit(0).cast("long"), F.lit((1 << BLOCK_BITS) - 1).cast("long")), lambda x: F.bit_count(x) <= RADIUS // BLOCKS))
+    index = item_prints.select("item", "fp", "total", F.explode(blocks("fp")).alias("b")).select("item", "fp", "total", "b", changes.alias("change")).select(
         "item", "fp", "total", "b.block", F.col("b.value").bitwiseXOR(F.col("change")).alias("value"))
-    near = prints.select("window", "w_fp", "w_total", F.explode(blocks("w_fp")).alias("b")).select(
+    near = staged(prints.select("window", "w_fp", "w_total", F.explode(blocks("w_fp")).alias("b")).select(
         "window", "w_fp", "w_total", "b.block", "b.value").join(index, ["block", "value"]).filter(
-        F.bit_count(F.col("w_fp").bitwiseXOR(F.col("fp"))) <= RADIUS).select("window", "w_total", "item", "total").distinct()
+        F.bit_count(F.col("w_fp").bitwiseXOR(F.col("fp"))) <= RADIUS).select("window", "w_total", "item", "total").distinct())
 
+    candidates = windows.join(near.select("window").distinct(), "window", "left_semi")
     other = item_shingles.select(F.col("item").alias("i_item"), F.col("shingle").alias("i_shingle"), F.col("n").alias("i_n"))
-    shared = near.join(window_shingles, "window").join(other, (F.col("item") == F.col("i_item")) & (F.col("shingle") == F.col("i_shingle"))).groupBy(
+    shared = near.join(counted(candidates, "window", weights), "window").join(other, (F.col("item") == F.col("i_item")) & (F.col("shingle") == F.col("i_shingle"))).groupBy(
         "window", "item", "w_total", "total").agg(F.sum(F.least("n", "i_n") * F.col("q")).alias("both"))
     verified = shared.withColumn("similarity", F.col("both") / (F.col("w_total") + F.col("total") - F.col("both"))).filter(F.col("similarity") >= similarity)
     named = verified.join(known.select(F.col("item").alias("k_item"), "item_id"), F.col("item") == F.col("k_item")).select("window", "item_id", "similarity")
