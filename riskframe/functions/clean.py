@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from riskframe.functions.fixed import MISSING, NULL_TEXT, NULL_TEXT_NULLABLE, WHITE_SPACE
 
@@ -42,6 +42,14 @@ def nan_to_null(c: Column | str) -> Column:
     return F.when(~F.isnan(value), value)
 
 
+def present(df: DataFrame, c: str) -> Column:
+    """A column in its own type in which NaN counts as missing and -0.0 is 0.0."""
+    value = F.col(f"`{c}`")
+    if dict(df.dtypes)[c] not in ("float", "double"):
+        return value
+    return F.when(~F.isnan(value), value + F.lit(0.0).cast(dict(df.dtypes)[c]))
+
+
 def to_timestamp(c: Column | str) -> Column:
     """Coerce to a zone-free timestamp; unreadable text is null."""
     return _col(c).try_cast("timestamp_ntz")

@@ -14,9 +14,10 @@ from riskframe.functions.clean import nan_to_null
 from riskframe.functions.fixed import (
     CATEGORICAL_FEATURES, INFREQUENT_SUFFIX, MIN_CATEGORY_ROWS, NOT_FEATURES, NUMERIC_FEATURES,
 )
-from riskframe.operators.joins import attach
+from riskframe.operators.joins import attach, hot_keys_of
 from riskframe.operators.projection import melt
 from riskframe.operators.ranks import medians
+from riskframe import session
 from riskframe.session import settle
 
 
@@ -140,6 +141,13 @@ class Preprocessor:
         found = {r["column"]: r["width"] for r in rows}
         return {c: found[c] for c in self.categorical if c in found}
 
+    @cached_property
+    def small_columns(self) -> set[str]:
+        """Categorical columns whose own labels are few and short; each column decides for itself."""
+        size = F.sum(F.octet_length("category") + 16)
+        rows = self.vocab.groupBy("column").agg(F.count("*").alias("n"), size.alias("b")).collect()
+        return {r["column"] for r in rows if r["n"] <= session.SMALL_ROWS and r["b"] <= session.SMALL_BYTES}
+
     def names(self) -> DataFrame:
         return feature_names(self.vocab, self.kept_numeric, self.categorical)
 
@@ -159,19 +167,23 @@ class Preprocessor:
         columns = list(self.widths)
         if not columns:
             return df
-        if not self.small:
-            for column, width in self.widths.items():
-                slots = self.vocab.filter(F.col("column") == column).select(
-                    F.col("category").alias("__category"), F.col("slot").alias(f"__slot_{column}")
-                )
-                df = attach(df.withColumn("__category", F.col(column).cast("string")), slots, ["__category"], False)
-                df = df.withColumn(f"__slot_{column}", F.coalesce(f"__slot_{column}", F.lit(width)).cast("double"))
+        large = [c for c in columns if c not in self.small_columns]
+        hot = hot_keys_of(df, {c: [F.col(c).cast("string")] for c in large})
+        for column in large:  # one join each; hot categories of all of them were found in one pass
+            slots = self.vocab.filter(F.col("column") == column).select(
+                F.col("category").alias("__category"), F.col("slot").alias(f"__slot_{column}")
+            )
+            df = attach(df.withColumn("__category", F.col(column).cast("string")), slots, ["__category"], False, hot[column])
+            df = df.withColumn(f"__slot_{column}", F.coalesce(f"__slot_{column}", F.lit(self.widths[column])).cast("double")).drop("__category")
+        columns = [c for c in columns if c not in large]
+        if not columns:
             return df
         # a small vocabulary is a set of label lists: frequent categories first, in slot order,
         # then the rare ones, which share the next slot
         labels: dict[str, list[str]] = {c: [] for c in columns}
         frequent = dict.fromkeys(columns, 0)
-        for row in self.vocab.orderBy("column", "slot", "category").collect():
+        wanted = self.vocab.filter(F.col("column").isin(columns)).orderBy("column", "slot", "category")
+        for row in wanted.collect():
             labels[row["column"]].append(row["category"])
             frequent[row["column"]] += not row["rare"]
         indexer = StringIndexerModel.from_arrays_of_labels(

@@ -1,8 +1,8 @@
 """Joins on keys that may be skewed, lookups, and key-set operations.
 
-A side is broadcast only after its rows have been counted (`session.settle`). Beyond that
-size the join shuffles, and only the rows of the few keys that hold a large share of the left
-side are joined by broadcast.
+A side is broadcast only after its rows and bytes have been counted (`session.settle`). Beyond
+that size the join shuffles, and the few keys that hold a large share of the left side are salted:
+their left rows are dealt over several tasks, their right row is repeated for each.
 """
 
 from __future__ import annotations
@@ -18,25 +18,38 @@ from riskframe.session import settle
 #: A key is hot from this share of the rows on, provided it also has HOT_ROWS rows.
 HOT_SHARE = 1 / 500
 HOT_ROWS = 200_000
+#: Tasks over which the rows of a hot key are dealt.
+SALTS = 32
 _TRACKED = 10_000
 _CANDIDATES = 1_000
 
 
 def hot_keys(
-    df: DataFrame, keys: Sequence[str], share: float = HOT_SHARE, min_rows: int = HOT_ROWS
+    df: DataFrame, keys: Sequence[str], share: float = HOT_SHARE, min_rows: int | None = None
 ) -> list[int]:
-    """Hashes of the keys that hold a large share of the rows; at most 1/share of them.
+    """Hashes of the keys that hold a large share of the rows; at most 1/share of them."""
+    return hot_keys_of(df, {"": keys}, share, min_rows)[""]
 
-    One pass over the key columns with a frequent-items sketch, without a shuffle. The
+
+def hot_keys_of(
+    df: DataFrame, keys: Mapping[str, Sequence[str | Column]], share: float = HOT_SHARE, min_rows: int | None = None
+) -> dict[str, list[int]]:
+    """Hashes of the hot keys for several key lists, by name.
+
+    One pass over the key columns with frequent-items sketches, without a shuffle. The
     answer only steers how rows travel, never what is computed.
     """
-    hashes = df.select(F.xxhash64(*keys).alias("h"))
+    if not keys:
+        return {}
+    hashes = df.select(*[F.xxhash64(*k).alias(f"h{i}") for i, k in enumerate(keys.values())])
     row = hashes.agg(
-        F.expr(f"approx_top_k(h, {_CANDIDATES}, {_TRACKED})").alias("top"),
         F.count("*").alias("n"),
+        *[F.expr(f"approx_top_k(h{i}, {_CANDIDATES}, {_TRACKED})").alias(f"top{i}") for i in range(len(keys))],
     ).first()
-    floor = max(min_rows, share * row["n"])
-    return [item["item"] for item in row["top"] or [] if item["count"] >= floor]
+    floor = max(HOT_ROWS if min_rows is None else min_rows, share * row["n"])
+    return {
+        name: [item["item"] for item in row[f"top{i}"] or [] if item["count"] >= floor] for i, name in enumerate(keys)
+    }
 
 
 def attach(
@@ -52,9 +65,9 @@ def attach(
     left_anti).
 
     ``small`` is what `settle` said about the table; None settles it here. A large table is
-    joined by shuffle, except for hot keys: these are at most 1 / HOT_SHARE, so their table rows
-    are broadcast, and no task receives all left rows of such a key. Every left row goes one of
-    the two ways.
+    joined by shuffle. The rows of hot keys (at most 1 / HOT_SHARE keys; ``hot`` gives their
+    hashes if they are known) get one of SALTS salts from a hash of the row, so no task receives
+    all of them; the table's row of such a key is repeated per salt. ``df`` is read once either way.
     """
     if small is None:
         table, small = settle(table)
@@ -74,11 +87,12 @@ def attach(
     hot = hot_keys(df, keys) if hot is None else list(hot)
     if not hot:
         return joined(df, right)
-    left_hot = F.xxhash64(*keys).isin(hot)
+    spread = [F.col(f"`{c}`") for c, t in df.dtypes if "map<" not in t and "variant" not in t]
+    left_salt = F.when(F.xxhash64(*keys).isin(hot), F.pmod(F.xxhash64(*spread), F.lit(SALTS))).otherwise(F.lit(0)).cast("int")
     right_hot = F.xxhash64(*renamed.values()).isin(hot)
-    return joined(df.filter(left_hot), F.broadcast(right.filter(right_hot))).unionByName(
-        joined(df.filter(~left_hot), right.filter(~right_hot))
-    )
+    salts = F.when(right_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    condition = condition & (F.col("__salt") == F.col("__right_salt"))
+    return joined(df.withColumn("__salt", left_salt), right.withColumn("__right_salt", F.explode(salts))).drop("__salt", "__right_salt")
 
 
 def key_set(log: DataFrame, key: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Profiles of a table: shape, duplicates, missing values, descriptive statistics, rates.
 
-Each profile reads the table once for all its columns and returns a table in long form.
+Each profile reads the table once for all its columns and returns a table in long form. NaN counts as
+missing everywhere, and 0.0 and -0.0 are one value.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from riskframe.functions.bins import ratio
-from riskframe.functions.clean import flag_or_false, nan_to_null, outside
+from riskframe.functions.clean import flag_or_false, nan_to_null, outside, present
 from riskframe.functions.fixed import MISSING
 from riskframe.operators.joins import attach
 from riskframe.operators.projection import melt
@@ -36,10 +37,10 @@ def table_shape(df: DataFrame) -> DataFrame:
 def distinct_counts(df: DataFrame, columns: Sequence[str], approximate: bool = False) -> DataFrame:
     """Non-null distinct values per column: rows (column, n_distinct)."""
     if approximate:
-        wide = df.agg(*[F.approx_count_distinct(c).alias(f"n_distinct__{c}") for c in columns])
+        wide = df.agg(*[F.approx_count_distinct(present(df, c)).alias(f"n_distinct__{c}") for c in columns])
         return unfold(wide, columns, ["n_distinct"])
     return (
-        melt(df, {c: F.col(c).cast("string") for c in columns}, "column").distinct()
+        melt(df, {c: present(df, c).cast("string") for c in columns}, "column").distinct()
         .groupBy("column").agg(F.count("value").alias("n_distinct"))
     )
 
@@ -102,7 +103,7 @@ def example_events(log: DataFrame, key: str, order: Sequence[str], keys: int = 3
 def missing_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Columns with missing values: count and percentage, highest first."""
     columns = list(columns or df.columns)
-    missing = {c: F.count_if(F.col(c).isNull()) for c in columns}
+    missing = {c: F.count_if(present(df, c).isNull()) for c in columns}
     wide = df.agg(
         *[m.alias(f"missing__{c}") for c, m in missing.items()],
         *[(100 * ratio(m, F.count("*"))).alias(f"missing_pct__{c}") for c, m in missing.items()],
@@ -115,7 +116,7 @@ def schema_profile(df: DataFrame) -> DataFrame:
     """Columns with type and number of non-null values."""
     wide = df.agg(
         *[F.lit(kind).alias(f"dtype__{c}") for c, kind in df.dtypes],
-        *[F.count(c).alias(f"non_null__{c}") for c in df.columns],
+        *[F.count(present(df, c)).alias(f"non_null__{c}") for c in df.columns],
     )
     return unfold(wide, df.columns, ["dtype", "non_null"])
 
@@ -140,13 +141,13 @@ def target_rate(df: DataFrame, target: str) -> DataFrame:
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:
     """Non-null values by descending count."""
-    counts = df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n"))
+    counts = df.select(present(df, column).alias(column)).dropna().groupBy(column).agg(F.count("*").alias("n"))
     return counts.orderBy(F.col("n").desc(), column)
 
 
 def value_shares(df: DataFrame, column: str) -> DataFrame:
     """Non-null values with count and share of the non-null rows."""
-    total = df.select(F.count(column)).scalar()
+    total = df.select(F.count(present(df, column))).scalar()
     counts = value_counts(df, column)
     return counts.withColumn("share", F.col("n") / total)
 
@@ -255,10 +256,10 @@ def cohort_compare(df: DataFrame, member: Column, metrics: Mapping[str, Column])
 
 def readiness(df: DataFrame, dimension: str) -> DataFrame:
     """One row: rows, columns, columns with nulls, the worst of them, range of a dimension."""
-    missing = [F.struct(F.count_if(F.col(c).isNull()).alias("missing"), F.lit(c).alias("name")) for c in df.columns]
+    missing = [F.struct(F.count_if(present(df, c).isNull()).alias("missing"), F.lit(c).alias("name")) for c in df.columns]
     facts = df.agg(
         F.count("*").alias("rows"), F.array(*missing).alias("missing"),
-        F.min(dimension).alias("dimension_min"), F.max(dimension).alias("dimension_max"),
+        F.min(present(df, dimension)).alias("dimension_min"), F.max(present(df, dimension)).alias("dimension_max"),
     )
     incomplete = F.filter("missing", lambda m: m["missing"] > 0)
     worst = F.element_at(F.array_sort(incomplete, lambda a, b: (
@@ -275,10 +276,10 @@ def readiness(df: DataFrame, dimension: str) -> DataFrame:
 
 
 def horizontal_present(columns: Sequence[str]) -> Column:
-    """Number of present values among several columns of a row."""
+    """Number of present values among several columns of a row; NaN, also as text, is none."""
     total = F.lit(0)
     for c in columns:
-        total = total + F.col(c).isNotNull().cast("int")
+        total = total + F.coalesce(F.col(c).cast("string") != "NaN", F.lit(False)).cast("int")
     return total.cast("long")
 
 

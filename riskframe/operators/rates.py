@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from riskframe.functions.fixed import FOLDS, NULL_TEXT
-from riskframe.operators.joins import attach
+from riskframe.operators.joins import attach, hot_keys_of
 from riskframe.operators.projection import melt
 from riskframe.operators.stratify import stratified_folds
 from riskframe.session import settle
@@ -42,13 +42,15 @@ class SmoothedRates:
         return (positives + self.alpha) / (rows + CLASSES * self.alpha)
 
     def transform(self, df: DataFrame) -> DataFrame:
-        """Add one column per rate; an unknown category gets the global smoothed rate."""
+        """Add one column per rate; an unknown category gets the global smoothed rate. Each rate is
+        one join; hot categories of all of them are found in one pass."""
+        hot = {} if self.small else hot_keys_of(df, {n: [_known(F.col(c))] for n, c in self.columns.items()})
         for rate_name, column in self.columns.items():
             rates = self.table.filter(F.col("rate_name") == rate_name).select(
                 F.col("category").alias("__category"),
                 smoothed(F.col("positives"), F.col("rows"), self.alpha).alias(rate_name),
             )
-            df = attach(df.withColumn("__category", _known(F.col(column))), rates, ["__category"], self.small)
+            df = attach(df.withColumn("__category", _known(F.col(column))), rates, ["__category"], self.small, hot.get(rate_name))
             df = df.withColumn(rate_name, F.coalesce(F.col(rate_name), F.lit(self._global(rate_name))))
         return df.drop("__category")
 
@@ -90,12 +92,15 @@ def out_of_fold_rates(
     )
     totals = table.groupBy("rate_name", "__fold").agg(F.sum("positives").alias("p"), F.sum("rows").alias("n")).collect()
     out = folded
+    known = {n: [_known(F.col(c))] for n, c in columns.items()}
+    hot = {} if small else hot_keys_of(folded, known)
+    hot_own = {} if small else hot_keys_of(folded, {n: ["__fold", *k] for n, k in known.items()})
     for rate_name, column in columns.items():
         own = table.filter(F.col("rate_name") == rate_name).select("__fold", F.col("category").alias("__category"), "positives", "rows")
         rest = every.filter(F.col("rate_name") == rate_name).select(F.col("category").alias("__category"), "p", "n")
         out = out.withColumn("__category", _known(F.col(column)))
-        out = attach(out, rest, ["__category"], small)
-        out = attach(out, own, ["__fold", "__category"], small)
+        out = attach(out, rest, ["__category"], small, hot.get(rate_name))
+        out = attach(out, own, ["__fold", "__category"], small, hot_own.get(rate_name))
         positives = F.col("p") - F.coalesce("positives", F.lit(0))
         rows = F.col("n") - F.coalesce("rows", F.lit(0))
         fallback = F

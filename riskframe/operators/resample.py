@@ -6,11 +6,14 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame, functions as F
 
 from riskframe.functions.fixed import SEED, SMOTE_NEIGHBOURS
 from riskframe.operators.joins import attach
 from riskframe.operators.stratify import hash_limit, order_hash
+from riskframe.session import stage
 
 #: Rows of one side of a distance matrix; 4096 x 4096 doubles are 128 MB.
 BLOCK_ROWS = 4096
@@ -54,9 +57,38 @@ def oversample(
 # --- exact nearest neighbours ---------------------------------------------------------
 
 
-def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    square = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2.0 * a @ b.T
-    return np.sqrt(np.maximum(square, 0.0))
+def _squares(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Squared distances as a^2 + b^2 - 2ab, and a bound of their error: for points close together
+    the difference has few digits left."""
+    aa, bb = (a * a).sum(1)[:, None], (b * b).sum(1)[None, :]
+    error = 4.0 * (a.shape[1] + 4) * np.finfo(float).eps * (aa + bb)
+    return np.maximum(aa + bb - 2.0 * a @ b.T, 0.0), error
+
+
+def _bounds(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lower and upper bounds of the distances."""
+    square, error = _squares(a, b)
+    return np.sqrt(np.maximum(square - error, 0.0)), np.sqrt(square + error)
+
+
+def _nearest_in_block(q: np.ndarray, c: np.ndarray, same: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Query numbers, candidate numbers and exact distances of the k nearest per query, in order of
+    distance, then candidate. All candidates that the error bound leaves possible are compared by direct
+    differences."""
+    square, error = _squares(q, c)
+    low, high = square - error, square + error
+    low[same] = high[same] = np.inf
+    limit = np.partition(high, min(k, high.shape[1]) - 1, axis=1)[:, min(k, high.shape[1]) - 1]
+    row, col = np.nonzero((low <= limit[:, None]) & ~same)
+    exact = np.empty(len(row))
+    for at in range(0, len(row), BLOCK_ROWS * 16):
+        part = slice(at, at + BLOCK_ROWS * 16)
+        exact[part] = np.sqrt(((q[row[part]] - c[col[part]]) ** 2).sum(1))
+    order = np.lexsort((col, exact, row))
+    row, col, exact = row[order], col[order], exact[order]
+    first = np.searchsorted(row, np.arange(len(q)))
+    keep = np.arange(len(row)) - first[row] < k
+    return row[keep], col[keep], exact[keep]
 
 
 def nearest(points: DataFrame, k: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -79,13 +111,14 @@ def nearest(points: DataFrame, k: int, block_rows: int = BLOCK_ROWS) -> DataFram
     def locate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
-                d = _distances(np.stack(batch["features"].to_numpy()), pivots)
+                _, d = _bounds(np.stack(batch["features"].to_numpy()), pivots)
                 cell = d.argmin(1)
                 yield batch.assign(cell=cell, reach=d[np.arange(len(cell)), cell])
 
-    located = points.select("id", "features").mapInPandas(
+    # written once: the cells of a point steer several passes
+    located = stage(points.select("id", "features").mapInPandas(
         locate, "id long, features array<double>, cell long, reach double"
-    )
+    ))
     cells = located.groupBy("cell").agg(F.count("*").alias("n"), F.max("reach").alias("radius")).collect()
     blocks = np.ones(len(pivots), dtype=int)
     radius = np.full(len(pivots), -np.inf)
@@ -124,15 +157,9 @@ def nearest(points: DataFrame, k: int, block_rows: int = BLOCK_ROWS) -> DataFram
                 return empty
             c = c.sort_values("id")
             others = c["id"].to_numpy()
-            d = _distances(np.stack(q["features"].to_numpy()), np.stack(c["features"].to_numpy()))
-            d[q["id"].to_numpy()[:, None] == others[None, :]] = np.inf
-            place = np.argsort(d, axis=1, kind="stable")[:, :k]
-            near = np.take_along_axis(d, place, axis=1)
-            out = pd.DataFrame({
-                "id": np.repeat(q["id"].to_numpy(), place.shape[1]),
-                "distance": near.ravel(), "other": others[place].ravel(),
-            })
-            return out[np.isfinite(out["distance"])]
+            same = q["id"].to_numpy()[:, None] == others[None, :]
+            row, col, near = _nearest_in_block(np.stack(q["features"].to_numpy()), np.stack(c["features"].to_numpy()), same, k)
+            return pd.DataFrame({"id": q["id"].to_numpy()[row], "distance": near, "other": others[col]})
 
         keys = ["cell", "block", "part"]
         return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(
@@ -143,7 +170,7 @@ def nearest(points: DataFrame, k: int, block_rows: int = BLOCK_ROWS) -> DataFram
         pairs = F.sort_array(F.collect_list(F.struct("distance", F.col("other").alias("id"))))
         return found.groupBy("id").agg(F.slice(pairs, 1, k).alias("neighbours"))
 
-    own = search(located.select("id", "features", "cell"))
+    own = stage(search(located.select("id", "features", "cell")))  # used for the bounds and the result
     if len(pivots) == 1:
         return merged(own)
 
@@ -155,9 +182,9 @@ def nearest(points: DataFrame, k: int, block_rows: int = BLOCK_ROWS) -> DataFram
         for batch in batches:
             if not len(batch):
                 continue
-            d = _distances(np.stack(batch["features"].to_numpy()), pivots)
+            d, _ = _bounds(np.stack(batch["features"].to_numpy()), pivots)
             bound = batch["bound"].fillna(np.inf).to_numpy()
-            slack = 1e-9 * (1.0 + d)
+            slack = 1e-12 * (1.0 + d)
             useful = (d - radius[None, :] <= bound[:, None] + slack) & np.isfinite(radius)[None, :]
             useful[np.arange(len(batch)), batch["cell"].to_numpy()] = False
             row, target = np.nonzero(useful)
@@ -176,7 +203,10 @@ def neighbour_lists(rows: DataFrame, key: str, k: int, block_rows: int = BLOCK_R
     Equal vectors are merged before the search, with their number of copies. A copy is a
     neighbour at distance 0, so a vector with many copies has itself as its neighbours.
     """
-    points = rows.groupBy("features").agg(F.min(key).cast("long").alias("id"), F.count("*").alias("copies"))
+    if dict(rows.dtypes)[key] in ("tinyint", "smallint", "int", "bigint"):
+        points = rows.groupBy("features").agg(F.min(key).cast("long").alias("id"), F.count("*").alias("copies"))
+    else:  # numbers that are written once
+        points = stage(rows.groupBy("features").agg(F.count("*").alias("copies")).withColumn("id", F.monotonically_increasing_id()))
     near = nearest(points.select("id", "features"), k, block_rows)
     pairs = near.select("id", F.posexplode("neighbours").alias("place", "near")).select(
         "id", "place", F.col("near.id").alias("other")
@@ -201,12 +231,12 @@ def smote(
 ) -> DataFrame:
     """Synthetic minority rows up to parity: (key, copy_no, label, base, neighbour, gap,
     features). Each lies between a minority row and one of its k nearest minority rows; which
-    one, and where between, follows from a seeded hash. ``key`` is an integer row key,
-    ``features`` an array of numbers."""
+    one, and where between, follows from a seeded hash. ``key`` is a row key of any simple type,
+    ``features`` an array of numbers or a vector (the result has arrays)."""
     few, need = _needed(df, label, minority)
-    rows = df.filter(F.col(label) == minority).select(
-        F.col(key), F.col(label), F.col(features).cast("array<double>").alias("features")
-    )
+    is_vector = isinstance(df.schema[features].dataType, VectorUDT)
+    numbers = vector_to_array(features) if is_vector else F.col(features).cast("array<double>")
+    rows = df.filter(F.col(label) == minority).select(F.col(key), F.col(label), numbers.alias("features"))
     copies = _copies(rows, few, need, [key], seed)
     lists = neighbour_lists(rows, key, k, block_rows)
     bases = attach(rows.withColumn("__copies", copies).filter("__copies > 0"), lists, ["features"], small=False)

@@ -10,7 +10,7 @@ from riskframe.functions.fixed import WAIT_DAYS_EDGES, WAIT_DAYS_LABELS
 from riskframe.operators import calendar, encode, joins, profile, rates, resample, stratify
 from riskframe.plans import features, workload as w
 from riskframe.plans.catalog import ELAPSED, LABELLED, LOG, WITH_LINES, query, r, rounded
-from riskframe.session import shared_dir, stage
+from riskframe.session import fresh_path, stage
 from riskframe.sources import sinks
 
 # --- SQL fragments --------------------------------------------------------------------
@@ -181,7 +181,7 @@ def engineered_features(spark, sf) -> DataFrame:
 @query(f"""WITH {PLANS} SELECT p_brand, count(*) AS n, sum(labs)::BIGINT AS labs FROM (SELECT *, coalesce(l1, 0) + coalesce(l2, 0) + coalesce(l3, 0)
  + coalesce(l4, 0) + coalesce(l5, 0) + coalesce(l6, 0) + coalesce(l7, 0) AS labs FROM plans) GROUP BY p_brand""")
 def engineered_roundtrip(spark, sf) -> DataFrame:
-    path = f"{shared_dir(spark)}/engineered"
+    path = fresh_path(spark, "engineered")
     sinks.write_table(features.row_features(w.plans(spark, sf)), path)
     back = spark.read.parquet(path).withColumnRenamed("department", "p_brand")
     return back.groupBy("p_brand").agg(F.count("*").alias("n"), F.sum("num_existing_labs").alias("labs"))
@@ -263,7 +263,7 @@ def model_matrices(spark, sf) -> features.Matrices:
 def model_matrix(spark, sf) -> DataFrame:
     """Split, fitted and encoded features of all plans, written and read back."""
     matrices = model_matrices(spark, sf)
-    path = sinks.write_matrix(matrices.data, f"{shared_dir(spark)}/matrix")
+    path = sinks.write_matrix(matrices.data, fresh_path(spark, "matrix"))
     data = sinks.read_matrix(spark, path)
     vector = vector_to_array("features")
     return data.select(
@@ -319,3 +319,16 @@ def smote_points(spark, sf) -> DataFrame:
     made = resample.smote(df, "y", "vec_id", "embedding")
     total = F.aggregate("features", F.lit(0.0), lambda a, v: a + v)
     return made.select("vec_id", "copy_no", r("gap"), r(total).alias("total"))
+
+
+NEAR = """few AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE label = 0), p AS (SELECT a.vec_id, b.vec_id AS other,
+ row_number() OVER (PARTITION BY a.vec_id ORDER BY list_distance(a.e, b.e), b.vec_id) AS place FROM few a JOIN few b ON a.vec_id <> b.vec_id)"""
+
+
+@query(f"""WITH {NEAR} SELECT vec_id, place::INT AS place, other FROM p WHERE place <= 5""")
+def nearest_ids(spark, sf) -> DataFrame:
+    """The five nearest vectors of each vector of class 0."""
+    few = w.table(spark, sf, "embeddings").filter("label = 0")
+    near = resample.nearest(few.select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("features")), 5)
+    listed = near.select(F.col("id").alias("vec_id"), F.posexplode("neighbours").alias("at", "near"))
+    return listed.select("vec_id", (F.col("at") + 1).alias("place"), F.col("near.id").alias("other"))

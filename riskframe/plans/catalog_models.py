@@ -11,7 +11,7 @@ from riskframe.plans.catalog import (
     CURVE, METRIC_COLUMNS, PR, REPORT_LINES, SCORED, SWEEP, matrix_sql, query, r, rounded,
 )
 from riskframe.plans.catalog_features import model_matrices
-from riskframe.session import shared_dir, stage
+from riskframe.session import fresh_path, stage
 from riskframe.sources import reports, sinks
 
 # --- evaluation without a model -------------------------------------------------------
@@ -116,7 +116,7 @@ def sweep_every_10th(spark, sf) -> DataFrame:
 @query(f"WITH {SWEEP} {SWEEP_ROWS}")
 def sweep_csv_roundtrip(spark, sf) -> DataFrame:
     sweep = ev.threshold_sweep(w.scored_orders(spark, sf), "label", "score")
-    path = sinks.write_csv(sweep, f"{shared_dir(spark)}/sweep_csv")
+    path = sinks.write_csv(sweep, fresh_path(spark, "sweep_csv"))
     back = spark.read.schema(sweep.schema).option("header", True).csv(path)
     return rounded(back, "precision", "recall", "f1_score")
 
@@ -163,7 +163,7 @@ def eval_at_threshold(spark, sf) -> DataFrame:
 def evaluate_all(spark, sf) -> DataFrame:
     """All metrics, written as JSON and read back."""
     found = ev.evaluate(w.scored_orders(spark, sf), "label", "score")
-    path = sinks.write_metrics(found, f"{shared_dir(spark)}/metrics_json")
+    path = sinks.write_metrics(found, fresh_path(spark, "metrics_json"))
     back = spark.read.schema(found.schema).json(path)
     return rounded(back, "accuracy", "precision", "recall", "f1_score", "roc_auc", "average_precision")
 
@@ -183,7 +183,7 @@ PARSED = f"""parsed AS (SELECT grp AS name, round(tp::DOUBLE / (tp + fp), 4) AS
 def _reports(spark, sf) -> DataFrame:
     """One report per order priority, written as text files and read back."""
     found = ev.evaluate(w.scored_orders(spark, sf), "label", "score", 0.5, by=["grp"])
-    path = reports.write_reports(reports.render(found, "grp"), f"{shared_dir(spark)}/reports")
+    path = reports.write_reports(reports.render(found, "grp"), fresh_path(spark, "reports"))
     return reports.parse(reports.read_reports(spark, path))
 
 
@@ -243,7 +243,7 @@ def gbt_early_stopping(spark, sf) -> DataFrame:
 def rf_scores(spark, sf) -> DataFrame:
     data = _Data(spark, sf, "balanced")
     model = tr.forest(FOREST).fit(data.train)
-    path = sinks.save_model(model, f"{shared_dir(spark)}/forest")
+    path = sinks.save_model(model, fresh_path(spark, "forest"))
     return _scores(type(model).load(path), data.test)
 
 

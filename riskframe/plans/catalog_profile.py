@@ -465,3 +465,36 @@ def bin_edges(spark, sf) -> DataFrame:
         bins.bin_label((F.col("p_retailprice") - 1100) * 3, DISTANCE_EDGES, bins.DISTANCE_LABELS).alias("distance"),
         bins.bin_label("p_size", BMI_EDGES, BMI_LABELS).alias("bmi"),
     )
+
+
+#: A double with nulls, NaN and both zeros, derived from the order prices.
+GAPS = """gaps AS (SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN NULL WHEN o_orderkey % 5 = 1 THEN NULL
+ WHEN o_orderkey % 5 = 2 THEN 0.0::DOUBLE ELSE floor(o_totalprice / 1000) END AS x FROM orders)"""
+
+
+def _gaps(spark, sf) -> DataFrame:
+    k = F.col("o_orderkey") % 5
+    x = F.when(k == 0, F.lit(None)).when(k == 1, F.lit("NaN").cast("double")).when(k == 2, F.when(
+        F.col("o_orderkey") % 2 == 0, F.lit("-0.0").cast("double")).otherwise(F.lit(0.0))).otherwise(F.floor(F.col("o_totalprice") / 1000).cast("double"))
+    return w.table(spark, sf, "orders").select("o_orderkey", x.alias("x"))
+
+
+@query(f"""WITH {GAPS} SELECT 'x' AS "column", (count(*) - count(x)) AS missing, round(100.0::DOUBLE * (count(*) - count(x)) / count(*), 4) AS missing_pct FROM gaps""")
+def missing_with_nan(spark, sf) -> DataFrame:
+    return rounded(profile.missing_profile(_gaps(spark, sf)), "missing_pct", digits=4)
+
+
+@query(f"""WITH {GAPS} SELECT 'x' AS "column", count(DISTINCT x) AS n_distinct FROM gaps""")
+def distinct_with_nan(spark, sf) -> DataFrame:
+    return profile.distinct_counts(_gaps(spark, sf), ["x"])
+
+
+@query(f"""WITH {GAPS} SELECT x, count(*) AS n FROM gaps WHERE x IS NOT NULL GROUP BY x""")
+def value_counts_with_nan(spark, sf) -> DataFrame:
+    return profile.value_counts(_gaps(spark, sf), "x")
+
+
+@query(f"""WITH {GAPS} SELECT count(*) AS rows, 2 AS columns, 1 AS incomplete_columns, 'x' AS worst_column,
+ round(100.0::DOUBLE * (count(*) - count(x)) / count(*), 4) AS worst_pct, min(x) AS dimension_min, max(x) AS dimension_max FROM gaps""")
+def readiness_with_nan(spark, sf) -> DataFrame:
+    return rounded(profile.readiness(_gaps(spark, sf), "x"), "worst_pct", digits=4)

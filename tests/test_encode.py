@@ -3,7 +3,8 @@ import pytest
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from riskframe.operators import encode, projection
+from riskframe import session
+from riskframe.operators import encode, joins, projection, rates
 from riskframe.plans import features
 from riskframe.sources import sinks, tables
 
@@ -19,10 +20,12 @@ def vectors(df):
 
 
 @pytest.mark.parametrize("small", [True, False])
-def test_vector_layout(spark, small):
+def test_vector_layout(spark, monkeypatch, small):
+    if not small:
+        monkeypatch.setattr(session, "SMALL_ROWS", 0)
     train = train_rows(spark)
     fitted = encode.fit_preprocessor(train, ["x", "empty"], ["c", "d"])
-    fitted.small = small  # the way a large vocabulary is joined must give the same
+    assert bool(fitted.small_columns) == small  # the way a large vocabulary is joined must give the same
     names = [r["name"] for r in fitted.names().orderBy("position").collect()]
     assert names == ["x", "c_a", "c_b", "c_infrequent_sklearn", "d_big"]
     x = np.array([float(i % 4) for i in range(40)] + [2.0, 10.0])
@@ -146,3 +149,26 @@ def test_row_features_need_no_state(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert spark.table("row_features").first()["wait_days_category"] == "8-30 days"
+
+
+def test_large_vocabularies_and_rates_read_the_source_once(spark, monkeypatch, tmp_path):
+    """Thirteen large columns, two hot keys each: the plan must not grow with the columns."""
+    columns = [f"c{i}" for i in range(13)]
+    rows = spark.range(400).select(
+        F.col("id"), (F.col("id") % 2).cast("int").alias("y"), F.col("id").cast("double").alias("x"),
+        *[F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 3 == 1, "warm").otherwise(F.concat(F.lit("v"), F.col("id") % 5)).alias(c) for c in columns])
+    rows.write.parquet(str(tmp_path / "rows"))
+    df = spark.read.parquet(str(tmp_path / "rows"))
+    few = vectors(encode.fit_preprocessor(df, ["x"], columns).transform(df, ["id"]))
+    few_rates = rates.fit_smoothed_rates(df, {f"r_{c}": c for c in columns}, "y").transform(df).orderBy("id").collect()
+    monkeypatch.setattr(session, "SMALL_ROWS", 0)
+    monkeypatch.setattr(joins, "HOT_ROWS", 50)
+    fitted = encode.fit_preprocessor(df, ["x"], columns)
+    out = fitted.transform(df, ["id"])
+    scans = lambda d: sum("Relation [" in line and "c0#" in line for line in d._jdf.queryExecution().optimizedPlan().toString().split("\n"))
+    assert 1 <= scans(out) <= 2
+    many = vectors(out)
+    assert many.keys() == few.keys() and all(np.allclose(many[k], few[k]) for k in few)
+    rated = rates.fit_smoothed_rates(df, {f"r_{c}": c for c in columns}, "y").transform(df)
+    assert 1 <= scans(rated) <= 2
+    assert rated.orderBy("id").select(*few_rates[0].asDict()).collect() == few_rates

@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from riskframe.operators import resample
 
@@ -75,3 +76,24 @@ def test_smote_points_lie_between_a_row_and_a_neighbour(spark):
 
 def test_smote_with_a_single_minority_row_makes_nothing(spark):
     assert resample.smote(labelled(spark, [[1, 2, 3]], 5), "y", "id").count() == 0
+
+
+@pytest.mark.parametrize("scale, apart, block_rows", [(1000.0, 1e-6, 4096), (1.0, 1e-8, 64), (1000.0, 1e-4, 64)])
+def test_near_copies_are_told_apart(spark, scale, apart, block_rows):
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(80, 8)) * scale
+    x = np.concatenate([base + rng.normal(size=base.shape) * apart for _ in range(6)])
+    points = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, features array<double>")
+    got = {r["id"]: [n["id"] for n in r["neighbours"]] for r in resample.nearest(points, 5, block_rows).collect()}
+    for i in range(len(x)):
+        d = np.sqrt(((x[i] - x) ** 2).sum(1))
+        d[i] = np.inf
+        assert got[i] == np.lexsort((np.arange(len(x)), d))[:5].tolist()
+
+
+def test_smote_takes_vectors_and_text_keys(spark):
+    from pyspark.ml.functions import array_to_vector
+
+    df = labelled(spark, np.eye(3) + 1, 9).withColumn("key", F.concat(F.lit("p"), "id")).withColumn("v", array_to_vector("features"))
+    made = resample.smote(df, "y", "key", "v", k=2).collect()
+    assert len(made) == 6 and all(r["key"].startswith("p") for r in made)
