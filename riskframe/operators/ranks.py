@@ -18,9 +18,14 @@ from riskframe.operators.projection import melt
 from riskframe.session import SMALL_ROWS, parallelism, settle, stage
 
 
+#: Sketches hold at most ten times as many entries per column, whatever the cluster.
+MAX_CHUNKS = 512
+
+
 def chunk_count(df: DataFrame) -> int:
-    """Number of chunks: some per shuffle task, so that chunks shrink as the cluster grows."""
-    return max(64, 4 * parallelism(df.sparkSession))
+    """Number of chunks: some per shuffle task, so that chunks shrink as the cluster grows, but no
+    more than MAX_CHUNKS, since every task's sketch (10 entries per chunk) goes to one merge."""
+    return min(MAX_CHUNKS, max(64, 4 * parallelism(df.sparkSession)))
 
 
 def cut_points(column: Column, chunks: int) -> Column:

@@ -82,10 +82,11 @@ def fit_smoothed_rates(
 
 def out_of_fold_rates(
     df: DataFrame, columns: Mapping[str, str], target: str, key: list[str],
-    alpha: float = 1, folds: int = FOLDS,
+    alpha: float = 1, folds: int = FOLDS, fold: Column | None = None,
 ) -> DataFrame:
-    """Rates in which a row's own fold does not take part."""
-    folded = stratified_folds(df, target, key, folds, name="__fold")
+    """Rates in which a row's own fold does not take part. ``fold`` gives each row's fold (0 to
+    folds - 1); by default folds are stratified."""
+    folded = stratified_folds(df, target, key, folds, name="__fold") if fold is None else df.withColumn("__fold", fold.cast("int"))
     table, small = settle(_tally(folded, columns, target, ["__fold"]))
     every = table.groupBy("rate_name", "category").agg(
         F.sum("positives").alias("p"), F.sum("rows").alias("n")

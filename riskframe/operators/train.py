@@ -20,7 +20,7 @@ from riskframe.operators.encode import with_class_weight
 from riskframe.operators.joins import zip_arrays
 
 # --- fixed values: model settings -----------------------------------------------------
-BASELINE_BOOSTING = {"n_estimators": 200, "learning_rate": 0.1, "max_depth": 5, "subsample": 0.8, "colsample": 0.8}
+BASELINE_BOOSTING = {"n_estimators": 200, "learning_rate": 0.1, "max_depth": 5, "subsample": 0.8, "colsample_bytree": 0.8}
 FOREST = {"n_estimators": 200, "max_depth": 10, "min_samples_leaf": 5}
 L1_LOGISTIC = {"C": 0.1, "max_iter": 1000, "tolerance": 1e-4}
 
@@ -33,7 +33,7 @@ RANDOM_SEARCH_SPACE = {
     "min_child_weight": [1, 3, 5, 7, 9],
     "gamma": [0.0, 0.1, 0.2, 0.3, 0.4, 0.5],
     "subsample": [0.6, 0.7, 0.8, 0.9, 1.0],
-    "colsample": [0.6, 0.7, 0.8, 0.9, 1.0],
+    "colsample_bytree": [0.6, 0.7, 0.8, 0.9, 1.0],
     "reg_alpha": [0, 0.001, 0.005, 0.01, 0.05, 0.1],
     "reg_lambda": [0.1, 0.5, 1, 1.5, 2, 3, 5],
 }
@@ -43,9 +43,9 @@ GUIDED_SEARCH_RANGES = {
     "learning_rate": ("log", 0.005, 0.1),
     "num_leaves": ("int", 20, 150, 1),
     "max_depth": ("int", 3, 12, 1),
-    "min_child_weight": ("int", 5, 100, 1),
+    "min_child_samples": ("int", 5, 100, 1),
     "subsample": ("step", 0.6, 1.0, 0.05),
-    "colsample": ("step", 0.5, 1.0, 0.05),
+    "colsample_bytree": ("step", 0.5, 1.0, 0.05),
     "reg_alpha": ("log", 1e-8, 1.0),
     "reg_lambda": ("log", 1e-8, 1.0),
 }
@@ -54,8 +54,8 @@ GUIDED_SEARCH_RANGES = {
 #: term for trees: those are drawn (so a draw stays comparable) and reported, but not applied.
 _BOOSTING_PARAMS = {
     "n_estimators": "maxIter", "learning_rate": "stepSize", "max_depth": "maxDepth",
-    "min_child_weight": "minInstancesPerNode", "gamma": "minInfoGain", "subsample": "subsamplingRate",
-    "colsample": "featureSubsetStrategy",
+    "min_child_weight": "minInstancesPerNode", "min_child_samples": "minInstancesPerNode", "gamma": "minInfoGain", "subsample": "subsamplingRate",
+    "colsample_bytree": "featureSubsetStrategy",
 }
 
 

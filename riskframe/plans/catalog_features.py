@@ -332,3 +332,13 @@ def nearest_ids(spark, sf) -> DataFrame:
     near = resample.nearest(few.select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("features")), 5)
     listed = near.select(F.col("id").alias("vec_id"), F.posexplode("neighbours").alias("at", "near"))
     return listed.select("vec_id", (F.col("at") + 1).alias("place"), F.col("near.id").alias("other"))
+
+
+@query(f"""WITH {LABELLED}, t AS (SELECT o_orderkey, o_orderpriority AS g, was_canceled::INT AS y, o_orderkey % 3 AS fold FROM labelled),
+ a AS (SELECT g, sum(y) AS p, count(*) AS n FROM t GROUP BY g), f AS (SELECT g, fold, sum(y) AS p, count(*) AS n FROM t GROUP BY g, fold)
+ SELECT o_orderkey, round((a.p - f.p + 1)::DOUBLE / (a.n - f.n + 2), 6) AS rate FROM t JOIN a USING (g) JOIN f USING (g, fold)""")
+def out_of_fold_rate_by_key(spark, sf) -> DataFrame:
+    """The same with folds given by the key."""
+    df = w.labelled_orders(spark, sf).withColumn("y", F.col("was_canceled").cast("int"))
+    out = rates.out_of_fold_rates(df, {"rate": "o_orderpriority"}, "y", ["o_orderkey"], fold=F.col("o_orderkey") % 3)
+    return out.select("o_orderkey", r("rate"))

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, functions as F
 
-from riskframe.operators import evaluate as ev, train as tr
+from riskframe.operators import evaluate as ev, resample, train as tr
 from riskframe.operators.stratify import stratified_folds
 from riskframe.plans import workload as w
 from riskframe.plans.catalog import (
     CURVE, METRIC_COLUMNS, PR, REPORT_LINES, SCORED, SWEEP, matrix_sql, query, r, rounded,
 )
-from riskframe.plans.catalog_features import model_matrices
+from riskframe.plans.catalog_features import SIZES, model_matrices
 from riskframe.session import fresh_path, stage
 from riskframe.sources import reports, sinks
 
@@ -309,3 +310,58 @@ def cv_fold_scores(spark, sf) -> DataFrame:
     train = stage(stratified_folds(data.train, "label", ["plan_id"]))
     scored = tr.fold_scores(train, tr.boosting({**TREES, "n_estimators": 5}), ["plan_id", "label"])
     return rounded(ev.scores_per_fold(stage(scored), "label", "score"), "roc_auc", "average_precision")
+
+
+# --- what SQL can confirm of models: rows scored per class, scores in range, better than chance --
+
+FACTS = f"""WITH {SIZES} SELECT y AS label, (n - train_n)::BIGINT AS n, true AS in_range FROM sizes"""
+
+
+def _facts(scored: DataFrame) -> DataFrame:
+    return scored.groupBy("label").agg(F.count("*").alias("n"), F.bool_and(F.col("score").between(0, 1)).alias("in_range"))
+
+
+@query(FACTS)
+def gbt_score_facts(spark, sf) -> DataFrame:
+    return _facts(gbt_scores(spark, sf))
+
+
+@query(FACTS)
+def rf_score_facts(spark, sf) -> DataFrame:
+    return _facts(rf_scores(spark, sf))
+
+
+@query(FACTS)
+def lr_score_facts(spark, sf) -> DataFrame:
+    return _facts(lr_scores(spark, sf))
+
+
+# --- balance the classes, fit, evaluate -----------------------------------------------
+
+FLOW = f"""WITH {SIZES} SELECT sum(n - train_n) FILTER (y = 0)::BIGINT AS negatives, sum(n - train_n) FILTER (y = 1)::BIGINT AS positives,
+ (sum(train_n) FILTER (y = 0) - sum(train_n) FILTER (y = 1))::BIGINT AS added, true AS better_than_chance FROM sizes"""
+
+
+def _flow(spark, sf, balance) -> DataFrame:
+    """Balance the training rows, fit on them, evaluate on the untouched test rows."""
+    data = _Data(spark, sf)
+    train = stage(data.train.select("plan_id", F.col("label").cast("int").alias("label"), "features"))
+    even = stage(balance(train).withColumn("weight", F.lit(1.0)))
+    scored = stage(tr.score(tr.l1_logistic(float(even.count())).fit(even), data.test, ["plan_id", "label"]))
+    found = ev.evaluate(scored, "label", "score", prediction=F.col("prediction"))
+    return found.select(
+        (F.col("tn") + F.col("fp")).alias("negatives"), (F.col("fn") + F.col("tp")).alias("positives"),
+        F.lit(even.count() - train.count()).cast("long").alias("added"), (F.col("roc_auc") > 0.5).alias("better_than_chance"))
+
+
+@query(FLOW)
+def oversample_fit_evaluate(spark, sf) -> DataFrame:
+    return _flow(spark, sf, lambda train: resample.oversample(train, "label", ["plan_id"]).select("label", "features"))
+
+
+@query(FLOW)
+def smote_fit_evaluate(spark, sf) -> DataFrame:
+    def balance(train: DataFrame) -> DataFrame:
+        made = resample.smote(train, "label", "plan_id").withColumn("features", array_to_vector("features"))
+        return resample.with_synthetic(train, made, ["label", "features"])
+    return _flow(spark, sf, balance)

@@ -15,7 +15,7 @@ from riskframe.functions.fixed import (
 from riskframe.operators import encode, joins, profile, rates, stratify
 from riskframe.operators.calendar import add_holiday_features
 from riskframe.operators.ranks import median_of_counts, medians
-from riskframe.session import settle
+from riskframe.session import settle, stage
 from riskframe.sources.tables import require_columns
 
 RATES = {
@@ -95,7 +95,8 @@ def engineer(
     require_columns(plans, ["plan_id", "request_date", "surgery_date"], "plans")
     require_columns(cancel_log, ["plan_id"], "cancel_log")
     df = joins.flag_members(plans, "plan_id", cancel_log, "plan_id", "was_canceled")
-    df = add_holiday_features(row_features(df), "surgery_date", holidays)
+    # written once: the city counts, the rates and the output all read it
+    df = stage(add_holiday_features(row_features(df), "surgery_date", holidays))
     df = add_city_cluster(df, city_dim)
     return with_rates(df, fit_rates_on)
 

@@ -8,7 +8,7 @@ from riskframe.operators import evaluate as ev, train as tr
 from riskframe.operators.stratify import stratified_folds
 from riskframe.sources import sinks
 
-SMALL = {"n_estimators": 5, "learning_rate": 0.3, "max_depth": 3, "subsample": 1.0, "colsample": 1.0}
+SMALL = {"n_estimators": 5, "learning_rate": 0.3, "max_depth": 3, "subsample": 1.0, "colsample_bytree": 1.0}
 
 
 @pytest.fixture(scope="module")
