@@ -8,10 +8,10 @@
    removed if a document with a smaller doc_id has it; windows that overlap make up the maximal
    exact repeats.
 
-Probes travel packed, about six bytes each, in rows per hash bucket; a task that sees a hash twice
+Probes travel packed, about six bytes each, in rows per bucket, where neighbours mostly share a bucket; a task that sees a hash twice
 itself sends it once, and a fingerprint once per smallest document, so passages that very many
-documents share stay small. Buckets are as many as shuffle tasks: set spark.sql.shuffle.partitions
-so that a share of the words fits in a task (about 50 bytes a word).
+documents share stay small. Buckets are twice as many as shuffle tasks: set
+spark.sql.shuffle.partitions so that such a share of the words fits in a task (about 100 bytes a word).
 
 All windows are judged on the input. A null, empty or shorter text loses nothing. A row without
 doc_id is neither smaller nor larger than others and is left as it is. Rows with equal doc_id do not
@@ -30,6 +30,8 @@ from .common import Batches, keyed_texts, staged
 from .hashing import mix, word_hashes
 
 WINDOW, BLOCK = 50, 25
+#: Words of the runs whose least hash chooses a probe's bucket.
+INNER = 8
 #: Words that one task looks at together.
 GROUP_WORDS = 1_000_000
 #: Odd bases of the rolling hashes.
@@ -63,6 +65,12 @@ def rolling(hashes: np.ndarray, size: int, which: int = 0) -> np.ndarray:
     return mix((sums[size:] - sums[:-size]) * down[:n - size + 1])
 
 
+def least_inner(words: np.ndarray, size: int, inner: int) -> np.ndarray:
+    """For each ``size`` words the least hash of ``inner`` words in a row among them. Equal windows have
+    equal values, and neighbouring windows mostly the same one: it deals a passage to few buckets."""
+    return np.lib.stride_tricks.sliding_window_view(rolling(words, inner), size - inner + 1).min(axis=1)
+
+
 def inside(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Windows of ``size`` words that lie in one of the documents laid end to end: start in the whole,
     document, start in the document."""
@@ -146,14 +154,16 @@ def probes(docs: DataFrame, buckets: int) -> DataFrame:
             at, doc, pos = inside(lengths, BLOCK)
             if not len(at):
                 continue
-            h = rolling(np.concatenate(parts), BLOCK)[at]
+            words = np.concatenate(parts)
+            h = rolling(words, BLOCK)[at]
+            bucket = (least_inner(words, BLOCK, INNER)[at] % np.uint64(buckets)).astype(np.int32)
             order, run_no = runs(h)
             twice = np.bincount(run_no)[run_no] > 1
             first = np.concatenate([[True], run_no[1:] != run_no[:-1]])
             many, send = np.zeros(len(h), bool), np.zeros(len(h), bool)
             many[order], send[order] = twice, first
             # of windows seen twice here one is sent on, marked; all of them are hits already
-            yield rows_of(((h >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)[send], ids, ids[:0], doc[send], pos[send],
+            yield rows_of(bucket[send], ids, ids[:0], doc[send], pos[send],
                           h[send].astype("<u4"), many[send])
             if many.any():
                 spread += 1
@@ -239,12 +249,13 @@ def windows_around(docs: DataFrame, buckets: int) -> DataFrame:
                 continue
             words = np.concatenate(parts)
             h = np.stack([rolling(words, WINDOW, k)[at] for k in (0, 1)], axis=1)
+            bucket = (least_inner(words, WINDOW, BLOCK)[at] % np.uint64(buckets)).astype(np.int32)
             order, run_no = runs(h[:, 0], h[:, 1])
             first = np.flatnonzero(np.concatenate([[True], run_no[1:] != run_no[:-1]]))
             gone = np.zeros(len(at), bool)
             gone[order] = ids[doc][order] > np.minimum.reduceat(ids[doc][order], first)[run_no]
             stay = ~gone  # may still be in a smaller document elsewhere
-            yield rows_of((h[:, 0][stay] % np.uint64(buckets)).astype(np.int32), ids, tags, doc[stay], pos[stay], h[stay].astype("<u8"), stay[stay])
+            yield rows_of(bucket[stay], ids, tags, doc[stay], pos[stay], h[stay].astype("<u8"), stay[stay])
             if gone.any():
                 spread += 1
                 yield rows_of(np.full(int(gone.sum()), (spread + int(ids[0])) % buckets, np.int32), ids, tags, doc[gone], pos[gone],
@@ -267,7 +278,7 @@ def cut_text(text: str, packed: list[bytes] | None) -> tuple[int, int, str]:
 
 def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, n_words, n_removed, text (the words that stay)."""
-    buckets = parallelism(docs.sparkSession)
+    buckets = 2 * parallelism(docs.sparkSession)
     texts = keyed_texts(docs, id_col, text_col)
     found = "doc_id long, tag long, at binary"
     hits = staged(probes(texts, buckets).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(hits_in_bucket, found))
