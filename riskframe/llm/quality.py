@@ -1,10 +1,11 @@
 """Quality rules with risk-controlled cutoffs.
 
 Each document gets the counts of ``measures``. A rule rejects a document whose value is above the
-rule's cutoff. Cutoffs come from labelled rows, per stratum: of a fixed grid, the lowest cutoff is
-taken for which an exact binomial test shows, at a level divided by the number of strata, rules and
-grid points (Bonferroni), that at most ``alpha / number of rules`` of the good documents lie above
-it. So with probability ``1 - delta`` no stratum loses more than ``alpha`` of its good documents. A
+rule's cutoff. Cutoffs come from labelled rows, per stratum: a fixed grid is tested from the highest
+cutoff down, and the last one is taken for which an exact binomial test shows that at most ``alpha /
+number of rules`` of the good documents lie above it; the first failure ends the sequence. Each test
+has level ``delta`` divided by the number of strata and rules (Bonferroni); a fixed sequence that stops
+at its first failure needs no division by its length. So with probability ``1 - delta`` no stratum loses more than ``alpha`` of its good documents. A
 stratum with too few labels gets no cutoff and keeps all.
 
 All labelled rows count; what reaches the driver is one count per stratum, rule and grid cell.
@@ -104,16 +105,18 @@ def binomial_cdf(k: int, n: int, p: float) -> float:
 
 def choose_cutoffs(above: dict[tuple, int], good: dict, grids: dict[str, list[float]], alpha: float, delta: float) -> dict:
     """above: (stratum, rule, grid index) -> good documents above that cutoff; good: per stratum."""
-    tests = max(1, len(good)) * sum(map(len, grids.values()))
+    level = delta / (max(1, len(good)) * len(grids))
     share = alpha / len(grids)
-    return {
-        stratum: {
-            rule: next((c for i, c in enumerate(grid)
-                        if binomial_cdf(above.get((stratum, rule, i), 0), n, share) <= delta / tests), math.inf)
-            for rule, grid in grids.items()
-        }
-        for stratum, n in good.items()
-    }
+
+    def lowest(stratum: object, rule: str, grid: list[float], n: int) -> float:
+        found = math.inf
+        for i in reversed(range(len(grid))):
+            if binomial_cdf(above.get((stratum, rule, i), 0), n, share) > level:
+                break
+            found = grid[i]
+        return found
+
+    return {s: {rule: lowest(s, rule, grid, n) for rule, grid in grids.items()} for s, n in good.items()}
 
 
 def calibrate(measured: DataFrame, labels: DataFrame, alpha: float = 0.02, delta: float = 0.05) -> dict:

@@ -50,7 +50,7 @@ def test_cutoffs_are_the_lowest_that_pass_the_test():
     above = {("en", "r", 0): 40, ("en", "r", 1): 1, ("few", "r", 0): 0}
     got = quality.choose_cutoffs(above, {"en": 2000, "few": 5}, grids, 0.02, 0.05)
     assert got == {"en": {"r": 2.0}, "few": {"r": math.inf}}
-    assert exact_cdf(1, 2000, Fraction(2, 100)) <= 0.05 / 6 < exact_cdf(40, 2000, Fraction(2, 100))
+    assert exact_cdf(1, 2000, Fraction(2, 100)) <= 0.05 / 2 < exact_cdf(40, 2000, Fraction(2, 100))
 
 
 def test_verdicts(spark):
