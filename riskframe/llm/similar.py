@@ -1,17 +1,18 @@
-"""Documents whose word-shingle sets have a Jaccard similarity of at least 90 percent, by a grouped
+"""Documents whose word-shingle sets are similar (Jaccard, at least a given percentage), by a grouped
 prefix join, and the groups they form.
 
-Words are lower-cased (A to Z only); a set holds the distinct three-word shingles of a text, or its whole
-word sequence if it has fewer words. Steps:
+Words are lower-cased (A to Z only); a set holds the distinct shingles of a text, or its whole word
+sequence if it has fewer words than a shingle. ``Rule`` has the words of a shingle and the percentage:
+five words and 80 by default. Steps:
 
 1. Shingles are ordered by how many documents hold them, rarest first. What is counted is a fixed
    number of hash cells (``CELLS``), so the counts stay small; any fixed order is right, a good one only
    keeps frequent shingles out of the prefixes.
 2. Texts with equal sets are one node. A node of n shingles can only be similar to one that shares a
-   shingle among its first n - ceil(0.9 n) + 1 (its prefix). Nodes with equal prefix and size are one
+   shingle among its first n - ceil(p n) + 1 (its prefix). Nodes with equal prefix and size are one
    group: what filters one of them by size and position filters all.
 3. Groups that share a prefix shingle are candidates. Where few share it, all their pairs are. Where
-   many do, each is first paired with ``HUBS`` of them only.
+   many do, each is first paired with ``HUBS`` of them only, those with the fewest rarer shingles.
 4. Pairs pass a bound on the overlap (shingles per hash class), are expanded to members and verified on
    whole sets. Links give components.
 5. For shingles that many groups share, the pairs of groups in different components that step 3 left
@@ -25,16 +26,16 @@ of a component unless all are null. An empty table gives no rows.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import Batches, keyed_texts, staged
 from .components import components
 from .hashing import run_hashes, set_fingerprint, word_hashes
 
-SHINGLE = 3
-PERCENT = 90
 CELLS = 1 << 20
 #: Cells per row while counts are added up.
 SLICE = 1 << 10
@@ -47,31 +48,39 @@ CLASSES = 64
 BROADCAST_ROWS = 1_000_000
 
 
-def shingle_set(text: str) -> np.ndarray:
-    """Sorted hashes of the distinct shingles."""
-    words = text.encode().lower().split()
-    if not words:
-        return np.zeros(0, dtype=np.uint64)
-    size = min(SHINGLE, len(words))
-    return np.unique(run_hashes(word_hashes(words), size, seed=size))
+@dataclass(frozen=True)
+class Rule:
+    shingle: int = 5
+    percent: int = 80
 
+    def shingles(self, text: str) -> np.ndarray:
+        """Sorted hashes of the distinct shingles."""
+        words = text.encode().lower().split()
+        if not words:
+            return np.zeros(0, dtype=np.uint64)
+        size = min(self.shingle, len(words))
+        return np.unique(run_hashes(word_hashes(words), size, seed=size))
 
-def needed(n, m):
-    """Least overlap of sets of n and m shingles that are similar enough (ceiling of an exact fraction)."""
-    return -(-PERCENT * (n + m) // (100 + PERCENT))
+    def needed(self, n, m):
+        """Least overlap of similar sets of n and m shingles (ceiling of an exact fraction)."""
+        return -(-self.percent * (n + m) // (100 + self.percent))
 
+    def prefix_length(self, n: int) -> int:
+        return n - -(-self.percent * n // 100) + 1
 
-def prefix_length(n: int) -> int:
-    return n - -(-PERCENT * n // 100) + 1
+    def can_match(self, n: Column, m: Column, i: Column, j: Column) -> Column:
+        """For sets of n and m shingles whose first shared one is at positions i and j."""
+        room = F.least(n - i, m - j)
+        return (100 * F.least(n, m) >= self.percent * F.greatest(n, m)) & ((100 + self.percent) * room >= self.percent * (n + m))
 
 
-def cell_counts(texts: DataFrame) -> np.ndarray:
+def cell_counts(texts: DataFrame, rule: Rule) -> np.ndarray:
     """Number of documents per hash cell of their shingles: CELLS numbers, whatever the input."""
     def count(batches: Batches) -> Batches:
         total = np.zeros(CELLS, dtype=np.int64)
         for batch in batches:
             for text in batch.column("text").to_pylist():
-                np.add.at(total, (shingle_set(text) % np.uint64(CELLS)).astype(np.int64), 1)
+                np.add.at(total, (rule.shingles(text) % np.uint64(CELLS)).astype(np.int64), 1)
         used = [i for i in range(CELLS // SLICE) if total[i * SLICE:(i + 1) * SLICE].any()]
         yield pa.RecordBatch.from_arrays(
             [pa.array(used, pa.int32()), pa.array([total[i * SLICE:(i + 1) * SLICE].tobytes() for i in used], pa.binary())], names=["slice", "counts"])
@@ -92,23 +101,23 @@ def cell_counts(texts: DataFrame) -> np.ndarray:
     return out
 
 
-def sets(texts: DataFrame) -> DataFrame:
+def sets(texts: DataFrame, rule: Rule) -> DataFrame:
     """Per row: doc_id, n, node (fingerprint of the set; null if empty), group (fingerprint of prefix and
     size), prefix (shingle hashes in order), classes (shingles per class)."""
-    shared = texts.sparkSession.sparkContext.broadcast(cell_counts(texts))
+    shared = texts.sparkSession.sparkContext.broadcast(cell_counts(texts, rule))
 
     def run(batches: Batches) -> Batches:
         counts = shared.value
         for batch in batches:
             out = []
             for key, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                hashes = shingle_set(text)
+                hashes = rule.shingles(text)
                 n = len(hashes)
                 if not n:
                     out.append((key, 0, None, None, [], b""))
                     continue
                 frequent = counts[(hashes % np.uint64(CELLS)).astype(np.int64)]
-                length = prefix_length(n)
+                length = rule.prefix_length(n)
                 bound = np.partition(frequent, length - 1)[length - 1]
                 low = frequent <= bound
                 order = np.lexsort((hashes[low], frequent[low]))[:length]
@@ -124,20 +133,20 @@ def sets(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "doc_id long, n long, node binary, grp binary, prefix array<long>, classes binary")
 
 
-def enough(pairs: DataFrame) -> DataFrame:
+def enough(pairs: DataFrame, rule: Rule) -> DataFrame:
     """Pairs of a and b (with their sizes and classes) whose overlap can be large enough."""
     def run(batches: Batches) -> Batches:
         for batch in batches:
             if not batch.num_rows:
                 continue
             left, right = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype="<u4").reshape(-1, CLASSES) for c in ("ca", "cb"))
-            need = needed(batch.column("na").to_numpy(), batch.column("nb").to_numpy())
+            need = rule.needed(batch.column("na").to_numpy(), batch.column("nb").to_numpy())
             keep = pa.array(np.minimum(left, right).sum(axis=1, dtype=np.int64) >= need)
             yield batch.select(["a", "b"]).filter(keep)
     return pairs.mapInArrow(run, "a binary, b binary")
 
 
-def verified(pairs: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, rule: Rule) -> DataFrame:
     """Pairs (a, b, sa, sb: sorted set hashes) that are similar enough."""
     def run(batches: Batches) -> Batches:
         for batch in batches:
@@ -145,16 +154,16 @@ def verified(pairs: DataFrame) -> DataFrame:
             for sa, sb in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist()):
                 left, right = np.frombuffer(sa, dtype="<u8"), np.frombuffer(sb, dtype="<u8")
                 both = len(np.intersect1d(left, right, assume_unique=True))
-                keep.append(100 * both >= PERCENT * (len(left) + len(right) - both))
+                keep.append(100 * both >= rule.percent * (len(left) + len(right) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
     return pairs.mapInArrow(run, "a binary, b binary")
 
 
-def whole_sets(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+def whole_sets(texts: DataFrame, wanted: DataFrame, rule: Rule) -> DataFrame:
     """node, hashes of the wanted nodes (node, doc_id of one of its documents), from the texts."""
     def run(batches: Batches) -> Batches:
         for batch in batches:
-            found = [shingle_set(t) for t in batch.column("text").to_pylist()]
+            found = [rule.shingles(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([set_fingerprint(s) for s in found], pa.binary()), pa.array([s.astype("<u8").tobytes() for s in found], pa.binary())],
                 names=["node", "hashes"])
@@ -167,45 +176,47 @@ def whole_sets(texts: DataFrame, wanted: DataFrame) -> DataFrame:
         wanted.select(F.col("node").alias("w")), F.col("node") == F.col("w"), "left_semi").dropDuplicates(["node"])
 
 
-def links_of(texts: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+def links_of(texts: DataFrame, nodes: DataFrame, pairs: DataFrame, rule: Rule) -> DataFrame:
     """Verified links among candidate pairs of nodes (a, b)."""
     info = nodes.select("node", "n", "classes")
     left = info.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("classes").alias("ca"))
     right = info.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("classes").alias("cb"))
-    close = staged(enough(pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "ca", "cb")))
+    close = staged(enough(pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "ca", "cb"), rule))
     wanted = close.select(F.col("a").alias("node")).unionByName(close.select(F.col("b").alias("node"))).distinct()
-    whole = staged(whole_sets(texts, nodes.join(wanted, "node", "left_semi").select("node", "doc_id")))
+    whole = staged(whole_sets(texts, nodes.join(wanted, "node", "left_semi").select("node", "doc_id"), rule))
     return verified(close.join(whole.select(F.col("node").alias("a"), F.col("hashes").alias("sa")), "a").join(
-        whole.select(F.col("node").alias("b"), F.col("hashes").alias("sb")), "b").select("a", "b", "sa", "sb"))
-
+        whole.select(F.col("node").alias("b"), F.col("hashes").alias("sb")), "b").select("a", "b", "sa", "sb"), rule)
 
-def can_match(n, m, i, j):
-    """Sizes n and m, and room behind the first shared shingle at positions i and j."""
-    need = F.ceil(PERCENT * (n + m) / F.lit(100 + PERCENT) - 1e-9)
-    return (100 * F.least(n, m) >= PERCENT * F.greatest(n, m)) & (F.least(n - i, m - j) >= need)
 
-
-def similar_nodes(texts: DataFrame, rows: DataFrame) -> DataFrame:
+def similar_nodes(texts: DataFrame, rows: DataFrame, rule: Rule) -> DataFrame:
     """node, root of every node that is linked to another. ``rows`` is the written result of ``sets``."""
+    can_match = rule.can_match
     nodes = staged(rows.filter("node is not null").groupBy("node").agg(
         F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("grp").alias("grp"), F.first("classes").alias("classes"),
         F.first("prefix").alias("prefix")))
     sizes = nodes.groupBy("grp").agg(F.count("*").alias("members"))
-    units = staged(nodes.select("node", "n", "grp", "prefix").join(sizes, "grp").select(
-        "node", "n", "prefix", "members", F.when(F.col("members") <= FEW, F.col("grp")).otherwise(F.col("node")).alias("unit")))
-    members = units.select("unit", "node")
-
-    postings = units.dropDuplicates(["unit"]).select("unit", "n", F.posexplode("prefix").alias("at", "token"))
-    hub = lambda k: F.min(F.struct(F.xxhash64("unit", F.lit(k)).alias("h"), "unit", "n", "at"))
-    tokens = postings.groupBy("token").agg(F.count("*").alias("k"), F.array(*(hub(k) for k in range(HUBS))).alias("hubs")).filter("k > 1").select(
-        "token", "k", F.when(F.col("k") > FEW, F.array_distinct("hubs")).alias("hubs"))
-    index = staged(postings.join(tokens, "token"))
+    # a unit is a group, or a node of a large one; two units with one number would only add candidates
+    unit = F.xxhash64(F.when(F.col("members") <= FEW, F.col("grp")).otherwise(F.col("node")))
+    units = nodes.select("node", "n", "grp", "prefix").join(sizes, "grp").withColumn("unit", unit)
+    one = F.col("members") > FEW
+    indexed = staged(units.withColumn("at_grp", F.when(one, F.col("node")).otherwise(F.col("grp"))).groupBy("at_grp", "unit").agg(
+        F.first("n").cast("int").alias("n"), F.first("prefix").alias("prefix")).select("unit", "n", "prefix"))
+    members = staged(units.select("unit", "node", "members"))
+
+    postings = indexed.select("unit", "n", F.posexplode("prefix").alias("at", "token"))
+    shared = postings.groupBy("token").agg(F.count("*").alias("k")).filter("k > 1")
+    index = staged(postings.join(shared, "token"))
 
     few = index.filter(F.col("k") <= FEW).select("token", "unit", "n", "at")
     other = few.select(F.col("token").alias("t"), F.col("unit").alias("v"), F.col("n").alias("m"), F.col("at").alias("j"))
     direct = few.join(other, (F.col("token") == F.col("t")) & (F.col("unit") < F.col("v"))).filter(
         can_match(F.col("n"), F.col("m"), F.col("at"), F.col("j"))).select("unit", "v")
-    by_hub = index.filter(F.col("k") > FEW).select("unit", "n", "at", F.explode("hubs").alias("h")).filter(
+    often = index.filter(F.col("k") > FEW).select("token", "unit", "n", "at")
+    # few rarer shingles in front of the shared one: little of the text is its own, so most of a family of
+    # near copies is similar to it
+    hub = lambda k: F.min(F.struct("at", F.xxhash64("unit", F.lit(k)).alias("h"), "unit", "n"))
+    hubs = often.groupBy("token").agg(F.array_distinct(F.array(*(hub(k) for k in range(HUBS)))).alias("hubs"))
+    by_hub = often.join(hubs, "token").select("unit", "n", "at", F.explode("hubs").alias("h")).filter(
         (F.col("unit") != F.col("h.unit")) & can_match(F.col("n"), F.col("h.n"), F.col("at"), F.col("h.at"))).select(
         F.least("unit", "h.unit").alias("unit"), F.greatest("unit", "h.unit").alias("v"))
 
@@ -214,31 +225,31 @@ def similar_nodes(texts: DataFrame, rows: DataFrame) -> DataFrame:
             members.select(F.col("unit").alias("v"), F.col("node").alias("y")), "v")
         return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
-    groups = units.filter((F.col("members") > 1) & (F.col("members") <= FEW)).select("unit", F.col("node").alias("x"))
-    inside = groups.join(groups.select("unit", F.col("x").alias("y")), "unit").filter("x < y").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    small = members.filter((F.col("members") > 1) & (F.col("members") <= FEW)).select("unit", F.col("node").alias("x"))
+    inside = small.join(small.select("unit", F.col("x").alias("y")), "unit").filter("x < y").select(F.col("x").alias("a"), F.col("y").alias("b"))
     pairs = staged(expanded(direct.unionByName(by_hub).distinct()).unionByName(inside).distinct())
-    links = staged(links_of(texts, nodes, pairs))
+    links = staged(links_of(texts, nodes, pairs, rule))
     found = components(links)
 
     # what hubs left out: groups in different components that share a frequent prefix shingle
     labelled = members.join(found, "node", "left").groupBy("unit").agg(
         F.min(F.coalesce("root", "node")).alias("lo"), F.max(F.coalesce("root", "node")).alias("hi")).select(
-        "unit", F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(F.col("unit")).alias("label"))
-    many = index.filter(F.col("k") > FEW).select("token", "unit", "n", "at").join(labelled, "unit")
+        "unit", F.when(F.col("lo") == F.col("hi"), F.col("lo")).alias("label"))
+    many = often.join(labelled.select(F.col("unit"), F.coalesce(F.xxhash64("label"), F.col("unit")).alias("label")), "unit")
     mixed = many.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select(F.col("token").alias("mixed_token"))
     open_rows = staged(many.join(mixed, F.col("token") == F.col("mixed_token"), "left_semi"))
     second = open_rows.select(F.col("token").alias("t"), F.col("unit").alias("v"), F.col("n").alias("m"), F.col("at").alias("j"), F.col("label").alias("label2"))
     rest = open_rows.join(second, (F.col("token") == F.col("t")) & (F.col("unit") < F.col("v")) & (F.col("label") != F.col("label2"))
                           & can_match(F.col("n"), F.col("m"), F.col("at"), F.col("j"))).select("unit", "v").distinct()
-    more = staged(links_of(texts, nodes, staged(expanded(rest).join(pairs, ["a", "b"], "left_anti"))))
+    more = staged(links_of(texts, nodes, staged(expanded(rest).join(pairs, ["a", "b"], "left_anti")), rule))
     return components(links.unionByName(more))
 
 
-def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def groups(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (smallest doc_id reachable by links)."""
     texts = keyed_texts(docs, id_col, text_col)
-    rows = staged(sets(texts))
-    roots = similar_nodes(texts, rows)
+    rows = staged(sets(texts, rule))
+    roots = similar_nodes(texts, rows, rule)
     first = rows.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
     by_root = first.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     least = by_root.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -247,10 +258,10 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         "doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
-def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def first_of_each(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs without those similar to one with a smaller doc_id. Rows without words all
     stay. Of rows that share the smallest doc_id of a component one stays."""
-    found = staged(groups(docs, id_col, text_col))
+    found = staged(groups(docs, rule, id_col, text_col))
     keep = found.filter(F.col("n_shingles") > 0).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("keep_id")).distinct()
     words = F.regexp_like(F.coalesce(F.col(text_col), F.lit("")), F.lit(r"[^\x20\x09-\x0D]"))
     kept = docs.filter(words).join(keep, F.col(id_col).eqNullSafe(F.col("keep_id")), "left_semi")

@@ -8,13 +8,16 @@ from riskframe.llm import components, similar
 from llm_helpers import docs, odd_texts, real_texts
 
 
-def brute_set(text):
+RULES = {(3, 90): similar.Rule(3, 90), (5, 80): similar.Rule()}
+
+
+def brute_set(text, k):
     words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m.group().lower(), text or ""))
-    return {tuple(words[i:i + 3]) for i in range(len(words) - 2)} if len(words) >= 3 else ({tuple(words)} if words else set())
+    return {tuple(words[i:i + k]) for i in range(len(words) - k + 1)} if len(words) >= k else ({tuple(words)} if words else set())
 
 
-def brute(texts):
-    sets, root = [brute_set(t) for t in texts], list(range(len(texts)))
+def brute(texts, k=3, percent=90):
+    sets, root = [brute_set(t, k) for t in texts], list(range(len(texts)))
 
     def find(x):
         while root[x] != x:
@@ -25,7 +28,7 @@ def brute(texts):
         for j in range(i):
             b = sets[j]
             both = len(a & b)
-            if a and b and 100 * both >= 90 * (len(a) + len(b) - both):
+            if a and b and 100 * both >= percent * (len(a) + len(b) - both):
                 x, y = sorted((find(i), find(j)))
                 root[y] = x
     return [(len(s), find(i)) for i, s in enumerate(sets)]
@@ -43,15 +46,15 @@ def families(rng, n_families, copies, length=70, changes=2):
     return texts
 
 
-@pytest.mark.parametrize("seed, few, hubs", [(1, 8, 4), (2, 2, 1)])
-def test_same_components_as_brute_force(spark, sf, monkeypatch, seed, few, hubs):
+@pytest.mark.parametrize("seed, few, hubs, rule", [(1, 8, 4, (3, 90)), (2, 2, 1, (5, 80))])
+def test_same_components_as_brute_force(spark, sf, monkeypatch, seed, few, hubs, rule):
     monkeypatch.setattr(similar, "FEW", few)
     monkeypatch.setattr(similar, "HUBS", hubs)
     rng = random.Random(seed)
     texts = odd_texts() + real_texts(spark, sf, 40) + families(rng, 2, 60) + families(rng, 12, 4) + families(rng, 1, 40, 30, 1)
     texts += ["a b", "A  B", "a", "one line that many share", "one line that many share"] * 3
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in similar.groups(docs(spark, texts)).collect()}
-    assert [got[i] for i in range(len(texts))] == brute(texts)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in similar.groups(docs(spark, texts), RULES[rule]).collect()}
+    assert [got[i] for i in range(len(texts))] == brute(texts, *rule)
 
 
 def test_hubs_alone_would_miss_links(spark, monkeypatch):
@@ -63,7 +66,7 @@ def test_hubs_alone_would_miss_links(spark, monkeypatch):
     for i in range(25):
         words[4 * i % 100] = f"changed{i}"
         texts.append(" ".join(words))
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in similar.groups(docs(spark, texts)).collect()}
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in similar.groups(docs(spark, texts), RULES[3, 90]).collect()}
     assert [got[i] for i in range(25)] == brute(texts)
     assert got[24][1] == 0
 
