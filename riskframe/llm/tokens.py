@@ -1,18 +1,24 @@
 """Token ids by the ``tokenizers`` library, with the ids of pieces of text kept between texts.
 
 Merges never cross the cuts of a tokenizer's own first splitting step, so a text may be encoded in
-pieces that end at such cuts. Frequent pieces are encoded once per Python worker. The cache holds at
-most ``CACHE_PIECES`` pieces and is then started anew; results do not depend on it.
+pieces that end at such cuts. Frequent pieces are encoded once per Python worker: a cache keeps up to
+``CACHE_PIECES`` pieces and, when half of that has been added, forgets those not met since the last
+time. Results do not depend on it.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import struct
 from itertools import chain
 
-#: About 150 MB in each Python worker.
-CACHE_PIECES = 800_000
+#: About 120 MB in each Python worker.
+CACHE_PIECES = 600_000
+
+#: A single full stop or comma between an ASCII letter and white space is a word of its own to a
+#: tokenizer that drops white space.
+_STOP = re.compile(rb"(?<=[a-z])([.,])(?=[ \n])")
 
 #: White space other than single blanks and line ends: such texts are encoded as a whole.
 _UNEVEN = (b"  ", b" \n", b"\n ", b"\n\n", b"\t", b"\r", b"\x0b", b"\x0c")
@@ -33,6 +39,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.blanks = blanks
         self.cache: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -44,8 +51,8 @@ class Encoder:
         With leading blanks a key stands for blank and key, unless it starts with a line end; the
         first key of a text gets a line end too and ``ids`` takes that away again.
         """
-        if self.blanks == "dropped":
-            return raw.split()
+        if self.blanks == "dropped":  # these also ignore case; special tokens are written with "<|"
+            return raw.split() if b"<|" in raw else _STOP.sub(rb" \1", raw.lower()).split()
         if not raw or raw[:1].isspace() or raw[-1:].isspace() or any(x in raw for x in _UNEVEN):
             return None
         if not raw.isascii() and any(x in raw for x in _UNEVEN_UNICODE):
@@ -54,15 +61,15 @@ class Encoder:
 
     def ids(self, texts: list[str]) -> list[bytes]:
         cut = [self.pieces(t.encode()) for t in texts]
+        new = set(chain.from_iterable(p for p in cut if p)) - self.cache.keys()
+        if len(self.cache) + len(new) > CACHE_PIECES // 2:
+            self.cache, self.older = {}, self.cache
+            new = set(chain.from_iterable(p for p in cut if p))
         cache = self.cache
-        new = list(set(chain.from_iterable(p for p in cut if p)) - cache.keys())
-        if len(cache) + len(new) > CACHE_PIECES:
-            cache.clear()
-            new = list(set(chain.from_iterable(p for p in cut if p)))
-        if self.blanks == "dropped":
-            cache.update(zip(new, self._encode([k.decode() for k in new])))
-        else:
-            cache.update(zip(new, self._encode([k.decode() if k[:1] == b"\n" else " " + k.decode() for k in new])))
+        cache.update((k, self.older[k]) for k in new & self.older.keys())
+        new = list(new - cache.keys())
+        lead = "" if self.blanks == "dropped" else " "
+        cache.update(zip(new, self._encode([k.decode() if k[:1] == b"\n" else lead + k.decode() for k in new])))
         whole = iter(self._encode([t for t, p in zip(texts, cut) if p is None]))
         skip = 0 if self.blanks == "dropped" else 4
         get = cache.__getitem__

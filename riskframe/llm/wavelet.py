@@ -49,6 +49,8 @@ class WaveletMatrix:
         n, rest = len(ids), ids
         n_bits = max(1, int(ids.max()).bit_length()) if n else 1
         planes, counts = [], []
+        if n_bits <= 16:  # half the memory to move
+            rest = rest.astype(np.uint16)
         for bit in reversed(range(n_bits)):
             ones = (rest >> bit & 1).astype(bool)
             packed = np.packbits(ones)
@@ -117,12 +119,13 @@ class WaveletMatrix:
 
     def all_ids(self) -> np.ndarray:
         """Every id in order: undo the splits from the last plane up."""
-        rest = np.zeros(self.n, dtype=np.uint32)
+        kind = np.uint16 if len(self.planes) <= 16 else np.uint32
+        rest = np.zeros(self.n, dtype=kind)
         for level in reversed(range(len(self.planes))):
             ones = np.unpackbits(self.planes[level], count=self.n).view(bool)
             before = np.empty_like(rest)
             before[~ones] = rest[:self.zeros[level]]
-            before[ones] = rest[self.zeros[level]:] | np.uint32(1 << (len(self.planes) - 1 - level))
+            before[ones] = rest[self.zeros[level]:] | kind(1 << (len(self.planes) - 1 - level))
             rest = before
         return rest
 
