@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import Batches
+from .tokens import grouped
 
 UNKNOWN = "und"
 MARK = "▁"
@@ -35,8 +36,9 @@ DOCS_PER_LANGUAGE = 400
 ROUNDS = 3
 #: Pseudo-count of every piece, and the probability of a character that is no piece.
 PSEUDO, FLOOR = 0.01, 1e-8
-#: Words whose scores a Python worker keeps.
-CACHE_WORDS = 400_000
+#: Words whose scores a Python worker keeps, and characters it takes apart at a time.
+CACHE_WORDS = 250_000
+CHARS = 1_000_000
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -129,7 +131,7 @@ class Model:
         """Log likelihood of each text, given as words; None without words."""
         new = list({w for ws in texts for w in ws} - self.seen.keys())
         if len(self.seen) + len(new) > CACHE_WORDS:
-            self.seen, self.scores = {}, np.zeros((0, len(self.languages)))
+            self.forget()
             new = list({w for ws in texts for w in ws})
         first = len(self.seen)
         self.seen.update(zip(new, range(first, first + len(new))))
@@ -141,17 +143,33 @@ class Model:
         get = self.seen.__getitem__
         return [self.scores[np.fromiter(map(get, ws), np.int64, len(ws))].sum(axis=0) if ws else None for ws in texts]
 
+    def forget(self) -> None:
+        self.seen, self.scores = {}, np.zeros((0, len(self.languages)))
+
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         found = []
-        for likelihood in self.text_scores([words_of(t) for t in texts]):
-            if likelihood is None or not self.languages:
-                found.append((UNKNOWN, 0.0))
-            else:
-                best = int(likelihood.argmax())
-                found.append((self.languages[best], float(1 / np.exp(likelihood - likelihood[best]).sum())))
+        for a, b in grouped([t or "" for t in texts], CHARS):
+            for likelihood in self.text_scores([words_of(t) for t in texts[a:b]]):
+                if likelihood is None or not self.languages:
+                    found.append((UNKNOWN, 0.0))
+                else:
+                    best = int(likelihood.argmax())
+                    found.append((self.languages[best], float(1 / np.exp(likelihood - likelihood[best]).sum())))
         return found
 
 
+#: The model this Python worker scores with: another one lets go of its words.
+_LIVE: list[Model] = []
+
+
+def live(model: Model) -> Model:
+    if not _LIVE or _LIVE[0] is not model:
+        for old in _LIVE:
+            old.forget()
+        _LIVE[:] = [model]
+    return model
+
+
 def train(counts: dict[str, dict[str, int]], pieces: list[str], rounds: int = ROUNDS) -> Model:
     """counts: language -> word -> occurrences."""
     index = {p: i for i, p in enumerate(pieces)}
@@ -212,7 +230,7 @@ def predict(docs: DataFrame, model: Model, prefix: str = "") -> DataFrame:
     names = [f"{prefix}lang_pred", f"{prefix}score"]
 
     def run(batches: Batches) -> Batches:
-        fitted = shared.value
+        fitted = live(shared.value)
         for batch in batches:
             found = fitted.predict(batch.column("text").to_pylist())
             extra = [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())]
