@@ -74,7 +74,8 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op8_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similar.groups(table(spark, sf_dir, "documents"), similar.Rule(shingle=3, percent=90))
+    found = similar.groups(table(spark, sf_dir, "documents"), similar.Rule(shingle=3, percent=90))
+    return found.select("doc_id", "n_shingles", "component_id")
 
 
 @query

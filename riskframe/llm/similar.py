@@ -102,7 +102,7 @@ def cell_counts(texts: DataFrame, rule: Rule) -> np.ndarray:
 
 
 def sets(texts: DataFrame, rule: Rule) -> DataFrame:
-    """Per row: doc_id, n, node (fingerprint of the set; null if empty), group (fingerprint of prefix and
+    """Per row of doc_id, text, tag: doc_id, tag, n, node (fingerprint of the set; null if empty), group (fingerprint of prefix and
     size), prefix (shingle hashes in order), classes (shingles per class)."""
     shared = texts.sparkSession.sparkContext.broadcast(cell_counts(texts, rule))
 
@@ -110,11 +110,11 @@ def sets(texts: DataFrame, rule: Rule) -> DataFrame:
         counts = shared.value
         for batch in batches:
             out = []
-            for key, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+            for key, tag, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "tag", "text"))):
                 hashes = rule.shingles(text)
                 n = len(hashes)
                 if not n:
-                    out.append((key, 0, None, None, [], b""))
+                    out.append((key, tag, 0, None, None, [], b""))
                     continue
                 frequent = counts[(hashes % np.uint64(CELLS)).astype(np.int64)]
                 length = rule.prefix_length(n)
@@ -123,14 +123,14 @@ def sets(texts: DataFrame, rule: Rule) -> DataFrame:
                 order = np.lexsort((hashes[low], frequent[low]))[:length]
                 prefix = hashes[low][order]
                 classes = np.bincount((hashes >> np.uint64(58)).astype(np.int64), minlength=CLASSES)
-                out.append((key, n, set_fingerprint(hashes), set_fingerprint(np.append(prefix, np.uint64(n))),
+                out.append((key, tag, n, set_fingerprint(hashes), set_fingerprint(np.append(prefix, np.uint64(n))),
                             prefix.view(np.int64), classes.astype("<u4").tobytes()))
-            columns = list(zip(*out)) if out else [[]] * 6
-            types = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.binary()]
+            columns = list(zip(*out)) if out else [[]] * 7
+            types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)],
-                                             names=["doc_id", "n", "node", "grp", "prefix", "classes"])
+                                             names=["doc_id", "tag", "n", "node", "grp", "prefix", "classes"])
 
-    return texts.mapInArrow(run, "doc_id long, n long, node binary, grp binary, prefix array<long>, classes binary")
+    return texts.mapInArrow(run, "doc_id long, tag long, n long, node binary, grp binary, prefix array<long>, classes binary")
 
 
 def enough(pairs: DataFrame, rule: Rule) -> DataFrame:
@@ -246,23 +246,26 @@ def similar_nodes(texts: DataFrame, rows: DataFrame, rule: Rule) -> DataFrame:
 
 
 def groups(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id (smallest doc_id reachable by links)."""
-    texts = keyed_texts(docs, id_col, text_col)
+    """Per row: doc_id, n_shingles, component_id (smallest doc_id reachable by links), tag (hash of the
+    text) and root (what all rows of a component share; null without words)."""
+    texts = keyed_texts(docs, id_col, text_col).withColumn("tag", F.xxhash64("text"))
     rows = staged(sets(texts, rule))
     roots = similar_nodes(texts, rows, rule)
     first = rows.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
     by_root = first.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     least = by_root.groupBy("root").agg(F.min("least").alias("component_id"))
-    names = by_root.join(least, "root").select(F.col("node").alias("of"), "component_id")
-    return rows.select("doc_id", F.col("n").alias("n_shingles"), "node").join(names, F.col("node") == F.col("of"), "left").select(
-        "doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    names = by_root.join(least, "root").select(F.col("node").alias("of"), "component_id", "root")
+    return rows.select("doc_id", "tag", F.col("n").alias("n_shingles"), "node").join(names, F.col("node") == F.col("of"), "left").select(
+        "doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "tag", "root")
 
 
 def first_of_each(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs without those similar to one with a smaller doc_id. Rows without words all
-    stay. Of rows that share the smallest doc_id of a component one stays."""
-    found = staged(groups(docs, rule, id_col, text_col))
-    keep = found.filter(F.col("n_shingles") > 0).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("keep_id")).distinct()
+    """The rows of docs without those similar to another that comes first by doc_id (nulls last), then by
+    a hash of the text. Rows without words all stay; of identical rows one stays."""
+    found = groups(docs, rule, id_col, text_col).filter("root is not null")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tag"))
+    keep = staged(found.groupBy("root").agg(first.alias("f")).select(F.col("f.doc_id").alias("keep__id"), F.col("f.tag").alias("keep__tag")))
     words = F.regexp_like(F.coalesce(F.col(text_col), F.lit("")), F.lit(r"[^\x20\x09-\x0D]"))
-    kept = docs.filter(words).join(keep, F.col(id_col).eqNullSafe(F.col("keep_id")), "left_semi")
-    return kept.dropDuplicates([id_col]).unionByName(docs.filter(~words))
+    tagged = docs.filter(words).withColumn("tag__", F.xxhash64(text_col))
+    kept = tagged.join(keep, F.col(id_col).eqNullSafe(F.col("keep__id")) & (F.col("tag__") == F.col("keep__tag")), "left_semi")
+    return kept.dropDuplicates([id_col, "tag__"]).drop("tag__").unionByName(docs.filter(~words))

@@ -73,10 +73,12 @@ def test_hubs_alone_would_miss_links(spark, monkeypatch):
 
 def test_one_of_each_group_stays(spark):
     df = spark.createDataFrame(
-        [(5, "x y z a", 1), (2, "x y z a", 2), (2, "x y z a", 3), (7, None, 4), (7, None, 4), (8, "  ", 5), (9, "other words here", 6)],
+        [(5, "x y z a", 1), (2, "x y z a", 2), (2, "x y z a", 3), (7, None, 4), (7, None, 4), (8, "  ", 5), (9, "other words here", 6), (9, "the same number but not similar", 7),
+         (None, "no number a b c", 8), (None, "nor this one d e f", 9), (None, "nor this one d e f", 10), (None, "x y z a", 11)],
         "doc_id long, text string, node int").withColumn("root", F.lit("r"))
-    got = sorted((r["doc_id"], r["text"] or "") for r in similar.first_of_each(df).collect())
-    assert got == [(2, "x y z a"), (7, ""), (7, ""), (8, "  "), (9, "other words here")]
+    got = sorted((-1 if r["doc_id"] is None else r["doc_id"], r["text"] or "") for r in similar.first_of_each(df).collect())
+    assert got == [(-1, "no number a b c"), (-1, "nor this one d e f"), (2, "x y z a"), (7, ""), (7, ""), (8, "  "), (9, "other words here"),
+                   (9, "the same number but not similar")]
     assert similar.groups(df.filter("false")).count() == 0
 
 
