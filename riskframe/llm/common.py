@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 from collections.abc import Callable, Iterator
 
@@ -39,8 +41,20 @@ def staged(df: DataFrame) -> DataFrame:
     return out
 
 
-def words(raw: bytes) -> list[bytes]:
-    return raw.split()
+_KEPT: dict[str, Callable[[], None]] = {}
+
+
+def keep_only(owner: str, forget: Callable[[], None] = lambda: None) -> None:
+    """Called inside tasks. Python workers live on between tasks, so an operator may keep a cache there;
+    when a task of another operator starts, ``forget`` is called and the memory is given back."""
+    others = [k for k in _KEPT if k != owner]
+    for other in others:
+        _KEPT.pop(other)()
+    _KEPT[owner] = forget
+    if others:
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):  # only the GNU C library has it
+            ctypes.CDLL(None).malloc_trim(0)
 
 
 def per_row(fn: Callable[..., tuple], inputs: list[str], outputs: pa.Schema) -> Callable[[Batches], Batches]:

@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import Batches
+from .common import Batches, keep_only
 from .tokens import grouped
 
 UNKNOWN = "und"
@@ -158,18 +158,6 @@ class Model:
         return found
 
 
-#: The model this Python worker scores with: another one lets go of its words.
-_LIVE: list[Model] = []
-
-
-def live(model: Model) -> Model:
-    if not _LIVE or _LIVE[0] is not model:
-        for old in _LIVE:
-            old.forget()
-        _LIVE[:] = [model]
-    return model
-
-
 def train(counts: dict[str, dict[str, int]], pieces: list[str], rounds: int = ROUNDS) -> Model:
     """counts: language -> word -> occurrences."""
     index = {p: i for i, p in enumerate(pieces)}
@@ -230,7 +218,8 @@ def predict(docs: DataFrame, model: Model, prefix: str = "") -> DataFrame:
     names = [f"{prefix}lang_pred", f"{prefix}score"]
 
     def run(batches: Batches) -> Batches:
-        fitted = live(shared.value)
+        fitted = shared.value
+        keep_only(f"language {id(fitted)}", fitted.forget)
         for batch in batches:
             found = fitted.predict(batch.column("text").to_pylist())
             extra = [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())]

@@ -32,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import Batches, keyed_texts, staged
+from .common import Batches, keep_only, keyed_texts, staged
 from .components import components
 from .hashing import run_hashes, set_fingerprint, word_hashes
 
@@ -77,6 +77,7 @@ class Rule:
 def cell_counts(texts: DataFrame, rule: Rule) -> np.ndarray:
     """Number of documents per hash cell of their shingles: CELLS numbers, whatever the input."""
     def count(batches: Batches) -> Batches:
+        keep_only("similar")
         total = np.zeros(CELLS, dtype=np.int64)
         for batch in batches:
             for text in batch.column("text").to_pylist():
@@ -107,6 +108,7 @@ def sets(texts: DataFrame, rule: Rule) -> DataFrame:
     shared = texts.sparkSession.sparkContext.broadcast(cell_counts(texts, rule))
 
     def run(batches: Batches) -> Batches:
+        keep_only("similar")
         counts = shared.value
         for batch in batches:
             out = []

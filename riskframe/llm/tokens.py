@@ -13,6 +13,8 @@ import re
 import struct
 from itertools import chain
 
+from .common import keep_only
+
 #: About 120 MB in each Python worker.
 CACHE_PIECES = 600_000
 
@@ -81,6 +83,7 @@ _ENCODERS: dict[tuple[str, str], Encoder] = {}
 
 def encoder(path: str, blanks: str) -> Encoder:
     """One per Python worker and vocabulary file."""
+    keep_only(f"tokens {path}", _ENCODERS.clear)
     if (path, blanks) not in _ENCODERS:
         _ENCODERS[path, blanks] = Encoder(path, blanks)
     return _ENCODERS[path, blanks]
