@@ -12,8 +12,8 @@ the fewer items it occurs in. Fingerprints are compared in four blocks of 16 bit
 to 3 bits changed finds all of them. What is found is verified: sum of the smaller weights over sum
 of the larger ones, at least ``SIMILARITY``.
 
-Null or empty text, and items of fewer than five words, match nothing. Rows with one doc_id count
-as one document. Repeated items are reported each. Empty tables give no rows.
+Null or empty text, and items of fewer than five words, match nothing. ``matches`` counts rows with
+one doc_id as one document, ``clean`` takes rows one by one. Repeated items are reported each. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -85,10 +85,9 @@ def blocks(fp: str) -> Column:
     return F.array(*(F.struct(F.lit(b).alias("block"), F.shiftrightunsigned(fp, BLOCK_BITS * b).bitwiseAND(F.lit(0xFFFF)).alias("value")) for b in range(BLOCKS)))
 
 
-def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
+def located(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
             item_text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """One row per document and item found in it: doc_id, item_id, similarity, start_word (of the most
-    similar window, the first of equal ones), n_words."""
+    """One row per similar window and item: doc_id, tag (hash of the row's text), item_id, similarity, at, n."""
     known = staged(items.select(F.col(item_col).alias("item_id"), words(F.col(item_text_col)).alias("words"), F.monotonically_increasing_id().alias("item"))
                    .filter(F.size("words") >= SHINGLE))
     n_items = known.count()
@@ -101,10 +100,11 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
     anchors = staged(item_rows.select("anchor", "w_words").distinct())
 
     # every shingle of every document against the shingles of the items
-    cut = docs.select(F.col(id_col).cast("long").alias("doc_id"), words(F.col(text_col)).alias("words")).filter(F.size("words") >= SHINGLE)
-    placed = cut.select("doc_id", "words", F.posexplode("words").alias("at", "word")).filter(F.col("at") <= F.size("words") - SHINGLE)
-    hit = placed.select("doc_id", "words", "at", shingle_hash("words", F.col("at")).alias("h")).join(small_enough(anchors), F.col("h") == F.col("anchor"))
-    hits = staged(hit.select("doc_id", F.col("at").cast("long").alias("at"), F.slice("words", F.col("at") + 1, F.col("w_words")).alias("words")).withColumn(
+    cut = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("tag"), words(F.col(text_col)).alias("words")).filter(
+        F.size("words") >= SHINGLE)
+    placed = cut.select("doc_id", "tag", "words", F.posexplode("words").alias("at", "word")).filter(F.col("at") <= F.size("words") - SHINGLE)
+    hit = placed.select("doc_id", "tag", "words", "at", shingle_hash("words", F.col("at")).alias("h")).join(small_enough(anchors), F.col("h") == F.col("anchor"))
+    hits = staged(hit.select("doc_id", "tag", F.col("at").cast("long").alias("at"), F.slice("words", F.col("at") + 1, F.col("w_words")).alias("words")).withColumn(
         "window", F.unhex(F.sha2(F.array_join("words", " ").cast("binary"), 256))))
     windows = staged(hits.groupBy("window").agg(F.first("words").alias("words")))
 
@@ -122,12 +122,22 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
         "window", "item", "w_total", "total").agg(F.sum(F.least("n", "i_n") * F.col("q")).alias("both"))
     verified = shared.withColumn("similarity", F.col("both") / (F.col("w_total") + F.col("total") - F.col("both"))).filter(F.col("similarity") >= similarity)
     named = verified.join(known.select(F.col("item").alias("k_item"), "item_id"), F.col("item") == F.col("k_item")).select("window", "item_id", "similarity")
-    return hits.select("doc_id", "at", "window", F.size("words").alias("n")).join(named, "window").groupBy("doc_id", "item_id").agg(
+    return hits.select("doc_id", "tag", "at", "window", F.size("words").alias("n")).join(named, "window").drop("window")
+
+
+def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+    """One row per document and item found in it: doc_id, item_id, similarity, start_word (of the most
+    similar window, the first of equal ones), n_words."""
+    return located(docs, items, id_col, **options).groupBy("doc_id", "item_id").agg(
         F.max(F.struct("similarity", (-F.col("at")).alias("before"), "n")).alias("best")).select(
         "doc_id", "item_id", F.round("best.similarity", 6).alias("similarity"), (-F.col("best.before")).alias("start_word"), F.col("best.n").cast("long").alias("n_words"))
 
 
-def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The documents without any match, unchanged."""
-    found = staged(matches(docs, items, id_col, **options).select(F.col("doc_id").alias("found_id")).distinct())
-    return docs.join(small_enough(found), F.col(id_col).eqNullSafe(F.col("found_id")), "left_anti")
+def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows without any match, unchanged. Rows that share a doc_id, or have none, are told apart by a
+    hash of their text; a row whose text is null goes with a matched row of its doc_id."""
+    no_text = F.xxhash64(F.lit(None).cast("string"))
+    found = staged(located(docs, items, id_col, text_col, **options).select(
+        F.col("doc_id").alias("found__id"), F.explode(F.array("tag", no_text)).alias("found__tag")).distinct())
+    return docs.withColumn("tag__", F.xxhash64(text_col)).join(
+        small_enough(found), F.col(id_col).eqNullSafe(F.col("found__id")) & (F.col("tag__") == F.col("found__tag")), "left_anti").drop("tag__")

@@ -78,3 +78,13 @@ def test_empty_tables_and_clashing_columns(spark):
     assert [r["doc_id"] for r in dc.matches(clash, table(spark, item)).collect()] == [0]
     null_key = spark.createDataFrame([(None, item[1]), (None, None), (4, "clean")], "doc_id long, text string")
     assert [r["doc_id"] for r in dc.clean(null_key, table(spark, item)).collect()] == [4]
+
+
+def test_clean_rows_stay_beside_contaminated_ones_of_their_key(spark):
+    item = "a b c d e f g h"
+    rows = [(None, item), (None, "nothing of it"), (None, ""), (7, "x " + item), (7, "also clean"), (7, "also clean"), (8, item), (9, "clean")]
+    got = dc.clean(spark.createDataFrame(rows, "doc_id long, text string").withColumn("found_id", F.lit(3)), table(spark, {1: item}))
+    assert got.columns == ["doc_id", "text", "found_id"]
+    assert sorted((str(r["doc_id"]), r["text"]) for r in got.collect()) == [
+        ("7", "also clean"), ("7", "also clean"), ("9", "clean"), ("None", ""), ("None", "nothing of it")]
+    assert [r["item_id"] for r in dc.matches(spark.createDataFrame(rows, "doc_id long, text string"), table(spark, {1: item})).filter("doc_id = 7").collect()] == [1]
