@@ -25,7 +25,7 @@ from .common import staged
 SHINGLE = 5
 SIMILARITY = 0.8
 RADIUS, BLOCKS, BLOCK_BITS = 15, 4, 16
-#: Shingle weights run from 1 to this; with them a window may have up to 4,000 shingles.
+#: Shingle weights run from 1 to this.
 MAX_WEIGHT = 7
 #: Rows up to which a table made from the benchmark (or of document keys) is broadcast; above, it is
 #: joined by shuffle. 1,000,000 rows of two numbers are about 16 MB.
@@ -60,22 +60,23 @@ def counted(keyed: DataFrame, key: str, weights: DataFrame) -> DataFrame:
 
 
 def fingerprints(keyed: DataFrame, key: str, weights: DataFrame) -> DataFrame:
-    """key, words -> key, fp, total. Four bits of a shingle's hash at a time are spread into lanes of 16
-    bits, so sixteen sums hold the votes of all 64 bits. A row's shingles are summed where they are
-    made; only the sums are exchanged."""
+    """key, words -> key, fp, total. Two bits of a shingle's hash at a time are spread into lanes of 32
+    bits, so 32 sums hold the votes of all 64 bits. A lane holds 300 million shingles of the highest
+    weight, more than an array can have words. A row's shingles are summed where they are made; only the
+    sums are exchanged."""
     votes = keyed.select(key, "words", F.posexplode("words").alias("at", "word")).filter(F.col("at") <= F.size("words") - SHINGLE).select(
         key, shingle_hash("words", F.col("at")).alias("h")).join(weights, "h", "left").select(key, F.xxhash64("h", F.lit(3)).alias("h"), weight().alias("q"))
     h, q = F.col("h"), F.col("q")
     lanes = [
-        F.sum((((F.shiftrightunsigned(h, 4 * g).bitwiseAND(F.lit(15))) * F.lit(0x0000200040008001)).bitwiseAND(F.lit(0x0001000100010001))) * q)
-        .alias(f"v{g}") for g in range(16)
+        F.sum((((F.shiftrightunsigned(h, 2 * g).bitwiseAND(F.lit(3))) * F.lit(0x0000000080000001)).bitwiseAND(F.lit(0x0000000100000001))) * q)
+        .alias(f"v{g}") for g in range(32)
     ]
     votes = votes.groupBy(key).agg(*lanes, F.sum("q").alias("total"))
     bit = lambda g, i: F.when(
-        F.shiftrightunsigned(f"v{g}", 16 * i).bitwiseAND(F.lit(0xFFFF)) * 2 > F.col("total"), F.shiftleft(F.lit(1).cast("long"), 4 * g + i)).otherwise(F.lit(0).cast("long"))
+        F.shiftrightunsigned(f"v{g}", 32 * i).bitwiseAND(F.lit(0xFFFFFFFF)) * 2 > F.col("total"), F.shiftleft(F.lit(1).cast("long"), 2 * g + i)).otherwise(F.lit(0).cast("long"))
     fp = bit(0, 0)
-    for g in range(16):
-        for i in range(4):
+    for g in range(32):
+        for i in range(2):
             if g or i:
                 fp = fp.bitwiseOR(bit(g, i))
     return votes.select(key, fp.alias("fp"), "total")

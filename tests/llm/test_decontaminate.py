@@ -88,3 +88,15 @@ def test_clean_rows_stay_beside_contaminated_ones_of_their_key(spark):
     assert sorted((str(r["doc_id"]), r["text"]) for r in got.collect()) == [
         ("7", "also clean"), ("7", "also clean"), ("9", "clean"), ("None", ""), ("None", "nothing of it")]
     assert [r["item_id"] for r in dc.matches(spark.createDataFrame(rows, "doc_id long, text string"), table(spark, {1: item})).filter("doc_id = 7").collect()] == [1]
+
+
+def test_fingerprints_of_long_items(spark):
+    # equal shingles all vote alike, so any number of them has the fingerprint of one
+    same = spark.createDataFrame([(1, ["a"] * 5), (2, ["a"] * 20_000)], "item long, words array<string>")
+    mixed = spark.range(1).select(F.lit(3).cast("long").alias("item"), F.transform(F.sequence(F.lit(1), F.lit(9_800)), lambda i: F.concat(F.lit("w"), i.cast("string"))).alias("words"))
+    weights = spark.createDataFrame([], "h long, q long")
+    got = {r["item"]: r for r in dc.fingerprints(same.unionByName(mixed), "item", weights).collect()}
+    assert got[1]["fp"] == got[2]["fp"] and got[2]["total"] == 7 * 19_996
+    hashes = mixed.select("words", F.explode(F.sequence(F.lit(0), F.lit(9_795))).alias("at")).select(F.xxhash64(dc.shingle_hash("words", F.col("at")), F.lit(3)).alias("h")).collect()
+    votes = [sum(r["h"] >> b & 1 for r in hashes) * 2 > len(hashes) for b in range(64)]
+    assert [bool(got[3]["fp"] >> b & 1) for b in range(64)] == votes
