@@ -8,8 +8,10 @@ dropped and not retried):
     card    [0-9]([\\x20-]?[0-9])+ of 16 to 19 digits that pass Luhn
     phone   \\+[0-9][\\x20().0-9-]+[0-9] of 8 to 15 digits
 
-Added kinds: ``iban`` (mod-97), ``access_key`` and ``secret`` (assigned passwords and tokens). Base spans
-are always reported; added ones from ``MIN_SCORE`` on.
+Added kinds: ``iban`` (mod-97, as one word or printed with single blanks), ``access_key`` and ``secret``
+(what is assigned to the name of a password or token). Base spans are always reported; added ones from
+``MIN_SCORE`` on. A printed IBAN that has not the length of its country starts below it, so words nearby
+decide; every assigned secret starts at it.
 
 The scanners run in time linear in the text: a plain search for the email or ip pattern would try
 every start in a long run of digits or letters again.
@@ -38,6 +40,8 @@ CONTEXT_CHARS = 40
 CONTEXT_BONUS = 0.2
 #: Score before context: a validated checksum says more than a shape.
 START_SCORE = {"email": 0.7, "ip": 0.5, "card": 0.8, "phone": 0.5, "iban": 0.8, "access_key": 0.8, "secret": 0.6}
+#: Instead of START_SCORE, for spans a finder marks as weak: context decides.
+WEAK_SCORE = 0.5
 CONTEXT_WORDS = {
     "email": ("mail", "contact", "write"), "ip": ("ip", "host", "server", "address"),
     "card": ("card", "visa", "credit", "payment"), "phone": ("phone", "tel", "call", "mobile", "fax"),
@@ -50,13 +54,23 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])")
+_IBAN_START = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}")
+_IBAN_REST = re.compile(r"(?:\x20?[A-Z0-9]){11,30}")
 _ACCESS_KEY = re.compile(r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])")
-_ASSIGNED = re.compile(r"[=:][\x20\t]*[\"']?([^\s\"']{6,})")
-_SECRET_NAME = re.compile(r"(?:password|passwd|pwd|secret|token|api[_-]?key)[\x20\t\"']*$", re.IGNORECASE)
+_SECRET_NAME = re.compile(r"(?:password|passwd|pwd|secret|token|api[_-]?key)[\x20\t\"']*[=:][\x20\t]*[\"']?", re.IGNORECASE)
+_SECRET_VALUE = re.compile(r"[^\s\"']{6,}")
 _NOT_DIGITS = re.compile(r"[^0-9]+")
 
-Span = tuple[int, int]
+#: Characters of an IBAN by country.
+IBAN_LENGTHS = {country: n for n, countries in {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "PT ST",
+    26: "IS TR", 27: "FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU",
+    31: "MT SC", 32: "LC",
+}.items() for country in countries.split()}
+
+#: start, end and, if the shape says little, True
+Span = tuple[int, int] | tuple[int, int, bool]
 
 
 def emails(text: str) -> Iterator[Span]:
@@ -113,7 +127,21 @@ def mod97(iban: str) -> bool:
 
 
 def ibans(text: str) -> Iterator[Span]:
-    return (m.span() for m in _IBAN.finditer(text) if mod97(m.group()))
+    """Of the ends a candidate may have, the one that gives the length of its country, else that of its
+    first word, else the longest that passes."""
+    done = 0
+    for m in _IBAN_START.finditer(text):
+        start = m.start()
+        rest = _IBAN_REST.match(text, m.end()) if start >= done else None
+        if not rest:
+            continue
+        ends = [e for e in range(rest.end(), m.end() + 10, -1) if text[e - 1] != " " and not (text[e:e + 1].isascii() and text[e:e + 1].isalnum())]
+        plain = {e: text[start:e].replace(" ", "") for e in ends}
+        passed = [e for e in ends if len(plain[e]) >= 15 and mod97(plain[e])]
+        known = [e for e in passed if len(plain[e]) == IBAN_LENGTHS.get(m.group()[:2])] or [e for e in passed if len(plain[e]) == e - start]
+        if passed:
+            done = (known or passed)[0]
+            yield start, done, not known
 
 
 def access_keys(text: str) -> Iterator[Span]:
@@ -121,9 +149,12 @@ def access_keys(text: str) -> Iterator[Span]:
 
 
 def secrets(text: str) -> Iterator[Span]:
-    for m in _ASSIGNED.finditer(text) if "=" in text or ":" in text else ():
-        if _SECRET_NAME.search(text, max(0, m.start() - 24), m.start()):
-            yield m.span(1)
+    done = 0
+    for m in _SECRET_NAME.finditer(text) if "=" in text or ":" in text else ():
+        value = _SECRET_VALUE.match(text, m.end()) if m.end() >= done else None
+        if value:
+            done = value.end()
+            yield value.span()
 
 
 FINDERS = {
@@ -136,9 +167,9 @@ def scored_spans(text: str) -> list[tuple[str, int, int, float]]:
     """All spans of one text in order of kind, then start."""
     found = []
     for kind in KINDS:
-        for start, end in FINDERS[kind](text):
+        for start, end, *weak in FINDERS[kind](text):
             near = text[max(0, start - CONTEXT_CHARS):start].lower() + " " + text[end:end + CONTEXT_CHARS].lower()
-            score = START_SCORE[kind] + CONTEXT_BONUS * any(w in near for w in CONTEXT_WORDS[kind])
+            score = (WEAK_SCORE if any(weak) else START_SCORE[kind]) + CONTEXT_BONUS * any(w in near for w in CONTEXT_WORDS[kind])
             if kind in BASE_KINDS or score >= MIN_SCORE:
                 found.append((kind, start, end, round(score, 2)))
     return found

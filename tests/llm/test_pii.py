@@ -95,3 +95,39 @@ def test_redacted_table_keeps_its_columns(spark):
     df = spark.createDataFrame([(1, "a@b.cd", "x"), (1, None, None)], "doc_id long, text string, spans string")
     got = pii.redact(df)
     assert got.columns == df.columns and sorted(r["text"] or "" for r in got.collect()) == ["", "<email>"]
+
+
+def added(text, kind):
+    return [text[a:b] for k, a, b, _ in pii.scored_spans(text) if k == kind]
+
+
+@pytest.mark.parametrize("text, want", [
+    ('config: token="abc123456789"', ["abc123456789"]), ("note: password=hunter2222", ["hunter2222"]),
+    ('db:password="longsecret99"', ["longsecret99"]), ("https://h.example/x?user=a&password=hunter2222", ["hunter2222"]),
+    ("token: password = hunter2222", ["password", "hunter2222"]), ('{"api_key": "k-123456", "pwd": "abcdefg"}', ["k-123456", "abcdefg"]),
+    ("password=token=abcdefgh", ["token=abcdefgh"]), ("a=longvalue b:longvalue password=short", []),
+])
+def test_secrets_behind_other_assignments(text, want):
+    assert added(text, "secret") == want
+
+
+@pytest.mark.parametrize("text, want", [
+    ("to DE89 3704 0044 0532 0130 00.", ["DE89 3704 0044 0532 0130 00"]), ("DE89 3704 0044 0532 0130 00 EUR 5", ["DE89 3704 0044 0532 0130 00"]),
+    ("AB12 DE89 3704 0044 0532 0130 00 7", ["DE89 3704 0044 0532 0130 00"]), ("DE88 3704 0044 0532 0130 00", []),
+    ("DE89  3704 0044 0532 0130 00", []), ("GB82WEST12345698765432 AND MORE", ["GB82WEST12345698765432"]), ("xDE89370400440532013000", []),
+])
+def test_printed_ibans(text, want):
+    assert added(text, "iban") == want
+
+
+def test_context_decides_on_weak_ibans():
+    # passes mod-97, but no country ZZ has registered a length
+    check = next(f"{n:02d}" for n in range(2, 99) if pii.mod97(f"ZZ{n:02d}123412341234"))
+    number = f"ZZ{check} 1234 1234 1234"
+    assert added(f"part {number} in stock", "iban") == [] and added(f"bank {number} in stock", "iban") == [number]
+    assert added(number.replace(" ", ""), "iban") == [number.replace(" ", "")]
+
+
+def test_linear_time_on_added_kinds():
+    for text in ("token=" * 50_000, "token" + " " * 300_000 + "token" + "\"" * 300_000, "AB12 " * 20_000, "AB12" + "A" * 300_000):
+        pii.scored_spans(text)
