@@ -8,7 +8,8 @@ predecessor kept:
     near_duplicates  of documents with similar word shingles the one with the smallest doc_id stays
     decontamination  documents that hold a benchmark passage go
     pii              personal data is replaced by its kind; n_chars is counted anew
-    packing          token pieces with their places in windows of 1024
+    packing          token pieces, their ids with them, and their places in windows of 1024;
+                     ``packing.sequences`` joins them to windows
 
 Nulls, empty tables, ties and repeated rows: see the operators' modules.
 """
@@ -50,7 +51,7 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, vocabulary("byte_bpe_50k.json"))
+    return packing.pack(docs, vocabulary("byte_bpe_50k.json"), with_ids=True)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -1,7 +1,9 @@
+import zlib
+
 import corpus_pipeline as cp
 from pyspark.sql import functions as F
 
-from riskframe.llm import language
+from riskframe.llm import language, packing
 from riskframe.llm.common import staged
 from llm_helpers import DOCS, real_texts
 
@@ -49,3 +51,12 @@ def test_unlabelled_documents_are_kept(spark, tmp_path):
     df = spark.createDataFrame([(1, "some words", None, None, 10), (2, "123", None, None, 3)], DOCS)
     assert [r["doc_id"] for r in cp.language_stage(spark, df, str(tmp_path)).collect()] == [1]
     assert language.UNKNOWN == "und"
+
+
+def test_pieces_carry_their_tokens(spark, sf, tmp_path):
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(real_texts(spark, sf, 5))], DOCS)
+    packed = staged(stage("packing")(spark, df, str(tmp_path)))
+    rows = packed.collect()
+    assert rows and all(len(r["ids"]) == 4 * r["length"] and zlib.crc32(r["ids"]) == r["ids_crc32"] for r in rows)
+    windows = {r["sequence_id"]: bytes(r["ids"]) for r in packing.sequences(packed).collect()}
+    assert all(windows[r["sequence_id"]][4 * r["offset"]:4 * (r["offset"] + r["length"])] == r["ids"] for r in rows)
