@@ -10,6 +10,10 @@ Jaccard similarity of at least ``LEAST_JACCARD`` to the template if it contains
 A window that shares no shingle with a template cannot share a band with it, so only windows around
 shingles of templates get signatures.
 
+Names and versions are a word or two among dozens, so a window must also hold the phrases ``REQUIRED`` of
+a template. Where several templates match one place, the most contained one stays (equal ones all): a
+match goes if more than half of its shingles lie in more contained matches.
+
 One row per document and template found: the highest containment and the first window that has it.
 Null or empty text matches nothing. Templates of fewer than five words are refused. Repeated rows
 give repeated rows. Empty tables give none.
@@ -39,14 +43,38 @@ TEMPLATES = {
     "Apache-2.0-short": "Licensed under the Apache License, Version 2.0.",
     "GPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "GPL-3.0-short": "This work is licensed under the GNU General Public License, version 3.",
+    "GPL-2.0": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    "GPL-2.0-short": "This work is licensed under the GNU General Public License, version 2.",
+    "LGPL-2.1": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "LGPL-2.1-short": "This work is licensed under the GNU Lesser General Public License, version 2.1.",
+    "LGPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "LGPL-3.0-short": "This work is licensed under the GNU Lesser General Public License, version 3.",
     "CC-BY-NC-4.0-short": "Licensed under CC BY-NC 4.0.",
     "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "BSD": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    "MPL-1.1": "The contents of this file are subject to the Mozilla Public License Version 1.1 (the \"License\"); you may not use this file except in compliance with the License.",
+    "MPL-1.1-short": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 1.1.",
     "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
     "Unlicense": "This is free and unencumbered software released into the public domain.",
 }
 
+#: Phrases with the name and version of a template, of at most ``SHINGLE`` words: a window with all
+#: shingles of the template has them.
+REQUIRED = {
+    "MIT-short": ("mit license",),
+    "Apache-2.0": ("apache license version 2 0",), "Apache-2.0-short": ("apache license version 2 0",),
+    "GPL-3.0": ("gnu general public license", "version 3 of the license"), "GPL-3.0-short": ("gnu general public license", "public license version 3"),
+    "GPL-2.0": ("gnu general public license", "version 2 of the license"), "GPL-2.0-short": ("gnu general public license", "public license version 2"),
+    "LGPL-3.0": ("gnu lesser general public license", "version 3 of the license"),
+    "LGPL-3.0-short": ("gnu lesser general public license", "public license version 3"),
+    "LGPL-2.1": ("gnu lesser general public license", "version 2 1 of the"),
+    "LGPL-2.1-short": ("gnu lesser general public license", "public license version 2 1"),
+    "CC-BY-NC-4.0-short": ("cc by nc 4 0",), "CC-BY-4.0": ("creative commons attribution 4 0",),
+    "MPL-2.0": ("mozilla public license", "license v 2 0"),
+    "MPL-1.1": ("mozilla public license", "license version 1 1"), "MPL-1.1-short": ("mozilla public license", "license v 1 1"),
+}
+
 _LETTERS = b"abcdefghijklmnopqrstuvwxyz0123456789"
 #: Lower case for letters, blanks for other ASCII characters, all else unchanged.
 _FOLD = bytes(c if c in _LETTERS or c > 127 else ord(chr(c).lower()) if chr(c).isalpha() else 32 for c in range(256))
@@ -93,6 +121,7 @@ class Template:
     name: str
     size: int
     shingles: frozenset[int]
+    required: tuple[bytes, ...] = ()
 
     @property
     def step(self) -> int:
@@ -104,7 +133,7 @@ class Template:
 
 
 class Scanner:
-    def __init__(self, templates: dict[str, str]):
+    def __init__(self, templates: dict[str, str], required: dict[str, tuple[str, ...]] = REQUIRED):
         self.vocabulary: dict[bytes, int] = {}
         self.templates: list[Template] = []
         self.bands: dict[tuple, list[Template]] = {}
@@ -114,7 +143,8 @@ class Scanner:
             if len(words) < SHINGLE:
                 raise ValueError(f"template {name} has fewer than {SHINGLE} words")
             hashes = shingle_hashes(word_numbers(words))
-            t = Template(name, len(words), frozenset(hashes.tolist()))
+            t = Template(name, len(words), frozenset(hashes.tolist()), tuple(
+                phrase for p in required.get(name, ()) if (phrase := b" %b " % p.encode()) in b" %b " % b" ".join(words)))
             self.templates.append(t)
             known |= t.shingles
             for band, key in enumerate(self.keys(hashes)):
@@ -137,7 +167,7 @@ class Scanner:
             return []
         hashes = shingle_hashes(word_numbers(words))
         hits = np.flatnonzero(np.isin(hashes, self.known))
-        best: dict[str, tuple[float, int, int]] = {}
+        matches: list[tuple[Template, float, int, int, np.ndarray]] = []
         for window, step in self.shapes if len(hits) else ():
             # windows (from, from + window) that hold a hit; the last one may reach past the text
             lowest, highest = np.maximum(0, hits - window + SHINGLE), hits
@@ -145,10 +175,19 @@ class Scanner:
             for start in starts:
                 part = hashes[start:start + window - SHINGLE + 1]
                 found = {id(t): t for band, key in enumerate(self.keys(part)) for t in self.bands.get((window, step, band, key), ())}
+                held = b" %b " % b" ".join(words[start:start + window]) if found else b""
                 for t in found.values():
                     share = len(t.shingles & set(part.tolist())) / len(t.shingles)
-                    if share >= CONTAINMENT and share > best.get(t.name, (0.0,))[0]:
-                        best[t.name] = (share, start, min(window, len(words) - start))
+                    if share >= CONTAINMENT and all(phrase in held for phrase in t.required):
+                        at = start + np.flatnonzero([h in t.shingles for h in part.tolist()])
+                        matches.append((t, share, start, min(window, len(words) - start), at))
+        top = np.zeros(len(hashes))
+        for _, share, _, _, at in matches:
+            top[at] = np.maximum(top[at], share)
+        best: dict[str, tuple[float, int, int]] = {}
+        for t, share, start, n, at in matches:
+            if share > best.get(t.name, (0.0,))[0] and 2 * np.count_nonzero(top[at] > share) <= len(at):
+                best[t.name] = (share, start, n)
         return [(t.name, *best[t.name]) for t in self.templates if t.name in best]
 
 

@@ -45,3 +45,31 @@ def test_empty_and_clashing(spark):
     assert licenses.scan(docs(spark, ["x"]).filter("false")).count() == 0
     df = spark.createDataFrame([(None, T["MIT"], "q", 1)] * 2, "doc_id long, text string, license string, n_words int")
     assert [r["license"] for r in licenses.scan(df).collect()] == ["MIT", "MIT"]
+
+
+def names(text):
+    return {f[0] for f in licenses.Scanner(T).scan("some words before " + text + " and some after")}
+
+
+def test_versions_are_told_apart():
+    for name in ("GPL-2.0", "GPL-2.0-short", "GPL-3.0", "GPL-3.0-short", "LGPL-2.1", "LGPL-2.1-short", "LGPL-3.0", "LGPL-3.0-short", "MPL-1.1", "MPL-1.1-short", "MPL-2.0"):
+        assert names(T[name]) == {name}
+        assert names(T[name].replace("This ", "That ", 1).replace("The ", "These ", 1)) == {name}
+    # a version without template is no other version
+    assert names(T["GPL-3.0"].replace("version 3", "version 4")) == set()
+    assert names(T["GPL-3.0-short"].replace("version 3", "version 1")) == set()
+    assert names(T["CC-BY-4.0"].replace("4.0", "3.0")) == set()
+    # each place counts by itself
+    assert names(T["GPL-2.0"] + " " + T["GPL-3.0"].replace("redistribute", "share")) == {"GPL-2.0", "GPL-3.0"}
+
+
+def test_required_phrases_belong_to_their_templates():
+    for name, phrases in licenses.REQUIRED.items():
+        text = b" %b " % b" ".join(licenses.words_of(T[name]))
+        assert all(b" %b " % p.encode() in text and len(p.split()) <= licenses.SHINGLE for p in phrases)
+
+
+def test_most_contained_of_one_place():
+    two = {"a": "one two three four five six seven eight nine ten eleven twelve", "b": "one two three four five six seven eight nine ten eleven other"}
+    assert [f[0] for f in licenses.Scanner(two).scan(two["a"])] == ["a"]
+    assert [f[0] for f in licenses.Scanner(two).scan(two["a"] + " x y z " + two["b"])] == ["a", "b"]
