@@ -5,7 +5,9 @@ Words are runs of ASCII letters, digits and characters beyond ASCII, lower-cased
 words. Templates of ``n`` words are sought with windows of ``n + step - 1`` words that begin at every
 multiple of ``step = max(1, n // 4)``, so some window holds a whole occurrence. Such a window then has a
 Jaccard similarity of at least ``LEAST_JACCARD`` to the template if it contains ``CONTAINMENT`` of it;
-``BANDS`` bands of ``ROWS`` rows share a band with probability above 0.999 there (``collision``).
+``BANDS`` bands of ``ROWS`` rows share a band with probability above 0.999 there (``collision``). An
+occurrence with words put in may contain that much only between two multiples, so around a window that
+shares a band every start is verified.
 
 A window that shares no shingle with a template cannot share a band with it, so only windows around
 shingles of templates get signatures.
@@ -172,14 +174,23 @@ class Scanner:
             # windows (from, from + window) that hold a hit; the last one may reach past the text
             lowest, highest = np.maximum(0, hits - window + SHINGLE), hits
             starts = sorted({s for a, b in zip(lowest.tolist(), highest.tolist()) for s in range(-(-a // step) * step, b + 1, step)})
+            tried: set[tuple[str, int]] = set()
+            found: list[tuple[int, Template]] = []
             for start in starts:
                 part = hashes[start:start + window - SHINGLE + 1]
-                found = {id(t): t for band, key in enumerate(self.keys(part)) for t in self.bands.get((window, step, band, key), ())}
-                held = b" %b " % b" ".join(words[start:start + window]) if found else b""
-                for t in found.values():
-                    share = len(t.shingles & set(part.tolist())) / len(t.shingles)
-                    if share >= CONTAINMENT and all(phrase in held for phrase in t.required):
-                        at = start + np.flatnonzero([h in t.shingles for h in part.tolist()])
+                near = {id(t): t for band, key in enumerate(self.keys(part)) for t in self.bands.get((window, step, band, key), ())}
+                for t in near.values():
+                    for s in range(max(0, start - step + 1), min(len(hashes), start + step)):
+                        if (t.name, s) not in tried:
+                            tried.add((t.name, s))
+                            found.append((s, t))
+            for start, t in sorted(found, key=lambda f: f[0]):
+                part = hashes[start:start + window - SHINGLE + 1].tolist()
+                share = len(t.shingles & set(part)) / len(t.shingles)
+                if share >= CONTAINMENT:
+                    held = b" %b " % b" ".join(words[start:start + window])
+                    if all(phrase in held for phrase in t.required):
+                        at = start + np.flatnonzero([h in t.shingles for h in part])
                         matches.append((t, share, start, min(window, len(words) - start), at))
         top = np.zeros(len(hashes))
         for _, share, _, _, at in matches:

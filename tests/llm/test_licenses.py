@@ -73,3 +73,16 @@ def test_most_contained_of_one_place():
     two = {"a": "one two three four five six seven eight nine ten eleven twelve", "b": "one two three four five six seven eight nine ten eleven other"}
     assert [f[0] for f in licenses.Scanner(two).scan(two["a"])] == ["a"]
     assert [f[0] for f in licenses.Scanner(two).scan(two["a"] + " x y z " + two["b"])] == ["a", "b"]
+
+
+def test_words_put_in_at_every_alignment():
+    words, scanner, n = T["GPL-3.0"].split(), licenses.Scanner(T), 0
+    for more in (8, 10, 12):
+        for place in (10, 24):  # not inside the name or version, which must be there
+            for before in range(10):
+                fill = [f"x{i}" for i in range(more)]
+                text = " ".join([f"y{i}" for i in range(20 + before)] + words[:place] + fill + words[place:] + ["z"] * 30)
+                got, want = {f[0]: round(f[1], 6) for f in scanner.scan(text)}, brute(text)
+                assert got.get("GPL-3.0") == want.get("GPL-3.0"), (more, place, before)
+                n += "GPL-3.0" in want
+    assert n >= 20
