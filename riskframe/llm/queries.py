@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, decontaminate, language, licenses, packing, pii, quality, repeats, similar, wavelet
+from . import chat, decontaminate, language, licenses, packing, pii, quality, repeats, similar, spelling, trie, urls, wavelet
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,3 +89,25 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rejected_by")
+
+
+@query
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.nodes(trie.rebuilt(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")))
+
+
+@query
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+#: The url filter's rules; what none of them fits is left to the trees.
+URL_RULES = [
+    urls.Rule(urls.ALLOW, "org"), urls.Rule(urls.BLOCK, "example.org", "/es/"), urls.Rule(urls.BLOCK, "example.org", "/en/1"),
+    urls.Rule(urls.ALLOW, "com", "/fr/"), urls.Rule(urls.BLOCK, "com", "/de/"),
+]
+
+
+@query
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"), URL_RULES)
