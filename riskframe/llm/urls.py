@@ -30,9 +30,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from riskframe.operators.joins import attach
 
+from .common import staged
+
 ALLOW, BLOCK = "allow", "block"
 #: Distinct labelled urls per verdict that the trees are fitted on, about.
 FIT_URLS = 20_000
+FIT_TASKS = 4
 TREES, DEPTH, RATE, SEED = 30, 4, 0.2, 17
 #: Labelled urls that the share of blocked ones in a suffix starts from, at the overall share.
 PRIOR = 10.0
@@ -139,9 +142,9 @@ def fit(features: DataFrame) -> GBTClassificationModel | str:
     for label, n in counts.items():
         share = F.when(F.col("label") == label, F.lit(min(1.0, FIT_URLS / n))).otherwise(share)
     chosen = known.filter(F.pmod(F.xxhash64("url"), F.lit(1_000_003)) < share * 1_000_003)
-    # in a fixed order, so that the same table gives the same trees
-    rows = _assembled(chosen.withColumn("y", (F.col("label") == BLOCK).cast("double"))).repartitionByRange(
-        4, F.xxhash64("url"), "url").sortWithinPartitions(F.xxhash64("url"), "url").select("features", "y")
+    # the sample is small and every level of every tree reads it: few partitions, in a fixed order
+    rows = _assembled(chosen.withColumn("y", (F.col("label") == BLOCK).cast("double"))).orderBy(F.xxhash64("url"), "url")
+    rows = staged(rows.select("features", "y").coalesce(FIT_TASKS))
     trees = GBTClassifier(labelCol="y", maxIter=TREES, maxDepth=DEPTH, stepSize=RATE, seed=SEED)
     return trees.fit(rows)
 
