@@ -21,6 +21,10 @@ from riskframe.operators.joins import zip_arrays
 
 # --- fixed values: model settings -----------------------------------------------------
 BASELINE_BOOSTING = {"n_estimators": 200, "learning_rate": 0.1, "max_depth": 5, "subsample": 0.8, "colsample_bytree": 0.8}
+LEAFWISE_BOOSTING = {
+    "n_estimators": 850, "learning_rate": 0.04030011759052641, "num_leaves": 57, "max_depth": 11, "min_child_samples": 100,
+    "subsample": 0.65, "colsample_bytree": 0.75, "reg_alpha": 0.0015859761672988419, "reg_lambda": 0.012904080278929704,
+}
 FOREST = {"n_estimators": 200, "max_depth": 10, "min_samples_leaf": 5}
 L1_LOGISTIC = {"C": 0.1, "max_iter": 1000, "tolerance": 1e-4}
 
