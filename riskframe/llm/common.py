@@ -32,6 +32,14 @@ def keyed_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     )
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A name like ``name`` that no column of df has, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def staged(df: DataFrame) -> DataFrame:
     """Write an intermediate table to the shared folder, then let go of the shuffle files that
     led to it: nothing refers to them any more, and at scale they are as large as the input."""

@@ -20,7 +20,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import staged
+from .common import free_name, staged
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -136,9 +136,9 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **options
 
 def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows without any match, unchanged. Rows that share a doc_id, or have none, are told apart by a
-    hash of their text; a row whose text is null goes with a matched row of its doc_id."""
-    no_text = F.xxhash64(F.lit(None).cast("string"))
-    found = staged(located(docs, items, id_col, text_col, **options).select(
-        F.col("doc_id").alias("found__id"), F.explode(F.array("tag", no_text)).alias("found__tag")).distinct())
-    return docs.withColumn("tag__", F.xxhash64(text_col)).join(
-        small_enough(found), F.col(id_col).eqNullSafe(F.col("found__id")) & (F.col("tag__") == F.col("found__tag")), "left_anti").drop("tag__")
+    hash of their text. A row whose text is null matches nothing and stays. Columns of any name stay."""
+    tag = free_name(docs, "tag__")
+    found_id, found_tag = free_name(docs, "found__id"), free_name(docs, "found__tag")
+    found = staged(located(docs, items, id_col, text_col, **options).select(F.col("doc_id").alias(found_id), F.col("tag").alias(found_tag)).distinct())
+    same = F.col(id_col).eqNullSafe(F.col(found_id)) & (F.col(tag) == F.col(found_tag))
+    return docs.withColumn(tag, F.when(F.col(text_col).isNotNull(), F.xxhash64(text_col))).join(small_enough(found), same, "left_anti").drop(tag)

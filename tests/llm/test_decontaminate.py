@@ -77,7 +77,9 @@ def test_empty_tables_and_clashing_columns(spark):
     clash = some.withColumn("item_id", F.lit("q")).withColumn("words", F.lit(1)).withColumn("window", F.lit(2)).withColumn("found_id", F.lit(3))
     assert [r["doc_id"] for r in dc.matches(clash, table(spark, item)).collect()] == [0]
     null_key = spark.createDataFrame([(None, item[1]), (None, None), (4, "clean")], "doc_id long, text string")
-    assert [r["doc_id"] for r in dc.clean(null_key, table(spark, item)).collect()] == [4]
+    left = dc.clean(null_key.withColumn("tag__", F.lit("mine")).withColumn("found__id", F.lit(1)), table(spark, item))
+    assert left.columns == ["doc_id", "text", "tag__", "found__id"]
+    assert sorted((str(r["doc_id"]), r["text"], r["tag__"]) for r in left.collect()) == [("4", "clean", "mine"), ("None", None, "mine")]
 
 
 def test_clean_rows_stay_beside_contaminated_ones_of_their_key(spark):

@@ -91,3 +91,11 @@ def test_components_of_links(spark):
         for a, b in pairs:
             root[a] = root[b] = min(root[a], root[b])
     assert got == {x: r for x, r in root.items() if any(x in p and p[0] != p[1] for p in pairs)}
+
+
+def test_columns_named_like_helpers_stay(spark):
+    text = "one two three four five six seven eight"
+    rows = spark.createDataFrame([(1, text, "a", 5), (2, text, "b", 6), (3, None, "c", 7)], "doc_id long, text string, tag__ string, keep__id int")
+    left = similar.first_of_each(rows)
+    assert left.columns == rows.columns
+    assert sorted(tuple(r) for r in left.select("doc_id", "tag__", "keep__id").collect()) == [(1, "a", 5), (3, "c", 7)]
