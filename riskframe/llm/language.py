@@ -6,23 +6,29 @@ the sum over all of them, found with the forward algorithm. A text's likelihood
 its words. Piece probabilities come from expectation maximisation over the same lattices.
 
 Training uses a sample of at most about ``docs_per_language`` labelled documents of each language, chosen
-by a hash of the key; everything scored is whole.
+by a hash of the key; everything scored is whole. Every lang value is learned; each is trained in a task
+of its own, and the driver gets one probability per piece and language.
 
 Null text, or text without a letter: language "und", score 0. A null key counts as the empty key.
 Ties go to the first language by name. Repeated rows get equal results. Without training rows every
-text is "und". Words of more than ``MAX_WORD`` letters are scored in parts of that length.
+text is "und". Very long texts and words: a word of more than ``MAX_WORD`` letters is summed letter by letter
+over the last ``MAX_PIECE`` sums, so its score too covers all segmentations; only in training are such
+words counted in parts. Other columns of docs stay; the two new ones must not be among them (see ``prefix``).
 """
 
 from __future__ import annotations
 
 import math
 import re
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from riskframe.session import settle
+
 from .common import Batches, keep_only
 from .tokens import grouped
 
@@ -30,8 +36,8 @@ UNKNOWN = "und"
 MARK = "▁"
 MAX_WORD = 40
 MAX_PIECE = 16
-#: Languages that are learned: the most frequent ones, at most this many.
-MAX_LANGUAGES = 200
+#: Languages whose sums are held at a time.
+LANGUAGES_AT_ONCE = 16
 DOCS_PER_LANGUAGE = 400
 ROUNDS = 3
 #: Pseudo-count of every piece, and the probability of a character that is no piece.
@@ -40,14 +46,18 @@ PSEUDO, FLOOR = 0.01, 1e-8
 CACHE_WORDS = 250_000
 CHARS = 1_000_000
 
-_LETTERS = re.compile(r"[^\W\d_]+")
+#: Characters that a regular expression takes for part of a word though they are no letters, like superscripts.
+_NUMERALS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha() and not c.isdecimal())
+_LETTERS = re.compile(rf"[^\W\d_{_NUMERALS}]+")
 
 
 def words_of(text: str | None) -> list[str]:
-    found = _LETTERS.findall(text.lower()) if text else []
-    if found and max(map(len, found)) > MAX_WORD:
-        found = [w[i:i + MAX_WORD] for w in found for i in range(0, len(w), MAX_WORD)]
-    return found
+    return _LETTERS.findall(text.lower()) if text else []
+
+
+def in_parts(words: list[str]) -> list[str]:
+    """Words with the long ones cut."""
+    return [w[i:i + MAX_WORD] for w in words for i in range(0, len(w), MAX_WORD)]
 
 
 def vocabulary_pieces(path: str) -> list[str]:
@@ -114,25 +124,55 @@ class Model:
         self.table = with_tail(probabilities)
         self.seen: dict[str, int] = {}
         self.scores = np.zeros((0, len(languages)))
+        starts = range(0, len(languages), LANGUAGES_AT_ONCE)
+        self.parts = [self] if len(starts) <= 1 else [
+            Model(languages[i:i + LANGUAGES_AT_ONCE], pieces, probabilities[:, i:i + LANGUAGES_AT_ONCE]) for i in starts]
+        self.sharers = 1
+        for part in self.parts:
+            part.sharers = len(self.parts)
 
     def __reduce__(self):
         return Model, (self.languages, self.pieces, self.table[:-2])
 
+    def long_score(self, word: str) -> np.ndarray:
+        """Log probability of one word of any length: only the last sums are kept, scaled per language."""
+        word, get = MARK + word, self.index.get
+        sums = np.ones((1, len(self.languages)))  # of the last positions, the newest in front
+        logs = np.zeros(len(self.languages))
+        for end in range(1, len(word) + 1):
+            found = [get(word[end - k:end], -1) for k in range(1, len(sums) + 1)]
+            back = [k for k, i in enumerate(found) if i >= 0 or k == 0]
+            ids = [found[k] if found[k] >= 0 else -2 for k in back]
+            new = (sums[back] * self.table[ids]).sum(axis=0)
+            sums = np.vstack([new, sums[:MAX_PIECE - 1]])
+            if end % 8 == 0:
+                top = sums.max(axis=0)
+                sums /= top
+                logs += np.log(top)
+        return logs + np.log(sums[0])
+
     def word_scores(self, words: list[str]) -> np.ndarray:
         """Log probability of each word in each language."""
         out = np.zeros((len(words), len(self.languages)))
         at = {w: i for i, w in enumerate(words)}
         for group in by_length(words):
+            rows = [at[w] for w in group]
+            if len(group[0]) > MAX_WORD:
+                out[rows] = [self.long_score(w) for w in group]
+                continue
             sums = Lattice([MARK + w for w in group], self.index).forward(self.table)[-1]
-            out[[at[w] for w in group]] = np.log(np.maximum(sums, 1e-300))
+            out[rows] = np.log(np.maximum(sums, 1e-300))
+            for i in np.flatnonzero((sums < 1e-290).any(axis=1)):  # near the smallest number
+                out[rows[i]] = self.long_score(group[i])
         return out
 
     def text_scores(self, texts: list[list[str]]) -> list[np.ndarray | None]:
-        """Log likelihood of each text, given as words; None without words."""
-        new = list({w for ws in texts for w in ws} - self.seen.keys())
-        if len(self.seen) + len(new) > CACHE_WORDS:
+        """Log likelihood of each text, given as words; None without words. Long words are not kept."""
+        short = {w for ws in texts for w in ws if len(w) <= MAX_WORD}
+        new = list(short - self.seen.keys())
+        if len(self.seen) + len(new) > CACHE_WORDS // self.sharers:
             self.forget()
-            new = list({w for ws in texts for w in ws})
+            new = list(short)
         first = len(self.seen)
         self.seen.update(zip(new, range(first, first + len(new))))
         if len(self.scores) < first + len(new):
@@ -140,39 +180,58 @@ class Model:
             grown[:first] = self.scores[:first]
             self.scores = grown
         self.scores[first:first + len(new)] = self.word_scores(new)
-        get = self.seen.__getitem__
-        return [self.scores[np.fromiter(map(get, ws), np.int64, len(ws))].sum(axis=0) if ws else None for ws in texts]
+        get, found = self.seen.get, []
+        for ws in texts:
+            ids = np.fromiter((get(w, -1) for w in ws), np.int64, len(ws))
+            total = self.scores[ids[ids >= 0]].sum(axis=0)
+            found.append(sum((self.long_score(ws[i]) for i in np.flatnonzero(ids < 0)), total) if ws else None)
+        return found
 
     def forget(self) -> None:
-        self.seen, self.scores = {}, np.zeros((0, len(self.languages)))
+        for part in self.parts:
+            part.seen, part.scores = {}, np.zeros((0, len(part.languages)))
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """Best language and its share of the likelihood, a few languages at a time."""
         found = []
         for a, b in grouped([t or "" for t in texts], CHARS):
-            for likelihood in self.text_scores([words_of(t) for t in texts[a:b]]):
-                if likelihood is None or not self.languages:
-                    found.append((UNKNOWN, 0.0))
-                else:
-                    best = int(likelihood.argmax())
-                    found.append((self.languages[best], float(1 / np.exp(likelihood - likelihood[best]).sum())))
+            words = [words_of(t) for t in texts[a:b]]
+            best = [(UNKNOWN, -math.inf, 0.0)] * len(words)  # language, its likelihood, sum of all relative to it
+            for part in self.parts:
+                for i, likelihood in enumerate(part.text_scores(words) if part.languages else []):
+                    if likelihood is None:
+                        continue
+                    k = int(likelihood.argmax())
+                    name, top, total = best[i]
+                    here, others = float(likelihood[k]), float(np.exp(likelihood - likelihood[k]).sum())
+                    best[i] = (part.languages[k], here, others + total * math.exp(top - here)) if here > top else (
+                        name, top, total + others * math.exp(here - top))
+            found += [(name, 1 / total if total else 0.0) for name, _, total in best]
         return found
 
 
+def train_one(counts: dict[str, int], index: dict[str, int], rounds: int = ROUNDS) -> np.ndarray:
+    """Piece probabilities of a language from word -> occurrences."""
+    lattices = [(Lattice([MARK + w for w in group], index), np.array([counts[w] for w in group], dtype=float))
+                for group in by_length(sorted(counts))]
+    p = np.full(len(index), 1 / len(index))
+    for _ in range(rounds):
+        seen = np.zeros(len(index) + 2)
+        for lattice, weights in lattices:
+            lattice.expected(with_tail(p[:, None]), weights, seen)
+        p = (seen[:-2] + PSEUDO) / (seen[:-2] + PSEUDO).sum()
+    return p
+
+
+def model_of(columns: dict[str, np.ndarray], pieces: list[str]) -> Model:
+    languages = sorted(columns)
+    return Model(languages, pieces, np.array([columns[k] for k in languages]).T if languages else np.zeros((len(pieces), 0)))
+
+
 def train(counts: dict[str, dict[str, int]], pieces: list[str], rounds: int = ROUNDS) -> Model:
     """counts: language -> word -> occurrences."""
     index = {p: i for i, p in enumerate(pieces)}
-    languages, columns = sorted(counts), []
-    for language in languages:
-        lattices = [(Lattice([MARK + w for w in group], index), np.array([counts[language][w] for w in group], dtype=float))
-                    for group in by_length(sorted(counts[language]))]
-        p = np.full(len(pieces), 1 / len(pieces))
-        for _ in range(rounds):
-            seen = np.zeros(len(pieces) + 2)
-            for lattice, weights in lattices:
-                lattice.expected(with_tail(p[:, None]), weights, seen)
-            p = (seen[:-2] + PSEUDO) / (seen[:-2] + PSEUDO).sum()
-        columns.append(p)
-    return Model(languages, pieces, np.array(columns).T if columns else np.zeros((len(pieces), 0)))
+    return model_of({language: train_one(words, index, rounds) for language, words in counts.items()}, pieces)
 
 
 def held_out(key: Column | str = "doc_id") -> Column:
@@ -181,40 +240,45 @@ def held_out(key: Column | str = "doc_id") -> Column:
     return F.crc32(text.cast("binary")) % 4 == 2
 
 
-def sample_counts(docs: DataFrame, docs_per_language: int) -> dict[str, dict[str, int]]:
-    """Word counts per language over the training sample: docs has doc_id, text, lang."""
-    sizes = docs.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
-    if not sizes:
-        return {}
+def sample_counts(docs: DataFrame, docs_per_language: int) -> DataFrame:
+    """lang, word, count over the training sample: docs has doc_id, text, lang."""
+    sizes, small = settle(docs.groupBy("lang").count())
     # a language keeps all documents or, of many, those whose hash lies below a bound
-    share = {r["lang"]: min(1.0, docs_per_language / r["count"]) for r in sizes}
-    bounds = F.create_map(*(F.lit(x) for kv in ((k, int(v * 1_000_000)) for k, v in share.items()) for x in kv))
-    chosen = docs.filter(F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1_000_000)) < F.element_at(bounds, F.col("lang")))
+    share = F.least(F.lit(1.0), F.lit(float(docs_per_language)) / F.col("count"))
+    bounds = sizes.select(F.col("lang").alias("of"), F.floor(share * 1_000_000).alias("bound"))
+    chosen = docs.join(F.broadcast(bounds) if small else bounds, F.col("lang") == F.col("of")).filter(
+        F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1_000_000)) < F.col("bound"))
 
     def run(batches: Batches) -> Batches:
         for batch in batches:
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
-                words = words_of(text)
+                words = in_parts(words_of(text))
                 if words:
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(words)), pa.array(words)], names=["lang", "word"])
 
-    rows = chosen.select("lang", "text").mapInArrow(run, "lang string, word string").groupBy("lang", "word").count().toArrow()
-    counts: dict[str, dict[str, int]] = {}
-    for lang, word, n in zip(*(rows.column(c).to_pylist() for c in ("lang", "word", "count"))):
-        counts.setdefault(lang, {})[word] = n
-    return counts
+    return chosen.select("lang", "text").mapInArrow(run, "lang string, word string").groupBy("lang", "word").count()
 
 
 def fit(docs: DataFrame, vocabulary: str, docs_per_language: int = DOCS_PER_LANGUAGE) -> Model:
     """Learn from the rows of doc_id, text, lang that are not held out and have a language."""
     known = docs.select(F.col("doc_id"), F.col("text"), F.col("lang").cast("string").alias("lang")).filter(
         ~held_out("doc_id") & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    return train(sample_counts(known, docs_per_language), vocabulary_pieces(vocabulary))
+    pieces = vocabulary_pieces(vocabulary)
+    shared = docs.sparkSession.sparkContext.broadcast(pieces)  # the vocabulary
+
+    def learn(words: pa.Table) -> pa.Table:
+        index = {p: i for i, p in enumerate(shared.value)}
+        p = train_one(dict(zip(words.column("word").to_pylist(), words.column("count").to_pylist())), index)
+        return pa.table({"lang": pa.array([words.column("lang")[0].as_py()], pa.string()), "p": pa.array([p.tobytes()], pa.binary())})
+
+    learned = sample_counts(known, docs_per_language).groupBy("lang").applyInArrow(learn, "lang string, p binary").toArrow()
+    columns = zip(learned.column("lang").to_pylist(), learned.column("p").to_pylist())
+    return model_of({lang: np.frombuffer(p) for lang, p in columns}, pieces)
 
 
 def predict(docs: DataFrame, model: Model, prefix: str = "") -> DataFrame:
     """Adds lang_pred and score, names with ``prefix`` in front; the columns of docs stay."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # vocabulary x languages: bounded
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # vocabulary x languages
     names = [f"{prefix}lang_pred", f"{prefix}score"]
 
     def run(batches: Batches) -> Batches:

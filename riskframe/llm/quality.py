@@ -8,10 +8,12 @@ has level ``delta`` divided by the number of strata and rules (Bonferroni); a fi
 at its first failure needs no division by its length. So with probability ``1 - delta`` no stratum loses more than ``alpha`` of its good documents. A
 stratum with too few labels gets no cutoff and keeps all.
 
-All labelled rows count; what reaches the driver is one count per stratum, rule and grid cell.
+All labelled rows count. Cutoffs are found in tasks, a stratum in one of them, from one count per rule and
+grid cell; the driver learns the number of strata only.
 
-Null or empty text: no words, so the base rule fails it. Null stratum: a stratum of its own. Several
-labels for one document: the lowest counts. Null labels are not used. Repeated rows are judged alike.
+Null or empty text: no words, so the base rule fails it. Very long texts are counted whole, in memory in
+proportion to the text. Null stratum: a stratum of its own. Several labels for one document: the lowest counts.
+Null labels are not used. Repeated rows are judged alike. Empty tables give no rows. Other columns stay outside.
 """
 
 from __future__ import annotations
@@ -23,11 +25,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from riskframe.session import settle
+
 from .common import per_row, staged
 
 MIN_WORDS = 50
-#: Most strata that are calibrated; the stratum column must be of low cardinality.
-MAX_STRATA = 1000
 SYMBOLS = b"#*$%&|<>"
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_marks", "n_upper")
@@ -92,20 +94,50 @@ def rules() -> dict[str, tuple[Column, list[float]]]:
     }
 
 
+def _beyond_stirling(n: int) -> float:
+    """log n! less Stirling's formula."""
+    if n < 16:
+        return math.lgamma(n + 1) - (n + 0.5) * math.log(n) + n - 0.5 * math.log(2 * math.pi)
+    return (1 / 12 - (1 / 360 - 1 / 1260 / n**2) / n**2) / n
+
+
+def _deviance(x: float, mean: float) -> float:
+    return x * math.log1p((x - mean) / mean) - (x - mean)
+
+
+def binomial_pmf(k: int, n: int, p: float) -> float:
+    """P(X = k); written as deviances, so that it stays accurate for large n."""
+    if k == 0 or k == n:
+        return math.exp(n * (math.log(p) if k else math.log1p(-p)))
+    log = (_beyond_stirling(n) - _beyond_stirling(k) - _beyond_stirling(n - k)
+           - _deviance(k, n * p) - _deviance(n - k, n * (1 - p)))
+    return math.exp(log) * math.sqrt(n / (2 * math.pi * k * (n - k)))
+
+
 def binomial_cdf(k: int, n: int, p: float) -> float:
-    """P(X <= k) for X binomial(n, p), exact up to rounding."""
+    """P(X <= k) for X binomial(n, p), exact up to rounding. The shorter tail is summed away from the
+    mean until its terms no longer count: about sqrt(n) steps and no memory."""
     if k >= n:
         return 1.0
-    i = np.arange(k + 1, dtype=np.float64)
-    steps = np.log(n - i[:-1]) - np.log(i[:-1] + 1) if k else np.empty(0)
-    logs = np.concatenate([[0.0], np.cumsum(steps)]) + i * math.log(p) + (n - i) * math.log1p(-p)
-    top = logs.max()
-    return float(min(1.0, math.exp(top) * np.exp(logs - top).sum()))
-
-
-def choose_cutoffs(above: dict[tuple, int], good: dict, grids: dict[str, list[float]], alpha: float, delta: float) -> dict:
-    """above: (stratum, rule, grid index) -> good documents above that cutoff; good: per stratum."""
-    level = delta / (max(1, len(good)) * len(grids))
+    low = k < n * p
+    i = k if low else k + 1
+    term = total = binomial_pmf(i, n, p)
+    while term > total * 1e-17:
+        if low:
+            term *= i / (n - i + 1) * (1 - p) / p
+            i -= 1
+        else:
+            term *= (n - i) / (i + 1) * p / (1 - p)
+            i += 1
+        total += term
+    return min(1.0, total) if low else max(0.0, 1 - total)
+
+
+def choose_cutoffs(above: dict[tuple, int], good: dict, grids: dict[str, list[float]], alpha: float, delta: float,
+                   strata: int | None = None) -> dict:
+    """above: (stratum, rule, grid index) -> good documents above that cutoff; good: per stratum.
+    ``strata`` is their number where these are only some of them."""
+    level = delta / (max(1, strata or len(good)) * len(grids))
     share = alpha / len(grids)
 
     def lowest(stratum: object, rule: str, grid: list[float], n: int) -> float:
@@ -119,39 +151,41 @@ def choose_cutoffs(above: dict[tuple, int], good: dict, grids: dict[str, list[fl
     return {s: {rule: lowest(s, rule, grid, n) for rule, grid in grids.items()} for s, n in good.items()}
 
 
-def calibrate(measured: DataFrame, labels: DataFrame, alpha: float = 0.02, delta: float = 0.05) -> dict:
-    """Cutoffs per stratum and rule from labels (doc_id, quality); quality 1 is good."""
+def calibrate(measured: DataFrame, labels: DataFrame, alpha: float = 0.02, delta: float = 0.05) -> DataFrame:
+    """Cutoffs, one row per stratum, from labels (doc_id, quality); quality 1 is good."""
     known = labels.filter("quality is not null").groupBy(F.col("doc_id").cast("long").alias("label_id")).agg(F.min("quality").alias("quality"))
     good = measured.join(known, F.col("doc_id") == F.col("label_id")).filter((F.col("quality") == 1) & (F.col("n_words") >= MIN_WORDS))
     cells = F.array(*(
         F.struct(F.lit(name).alias("rule"), sum(((value > c).cast("int") for c in grid), F.lit(0)).alias("cell"))
         for name, (value, grid) in rules().items()
     ))
-    held = good.select("stratum", F.explode(cells).alias("c")).groupBy("stratum", "c.rule", "c.cell").count().limit(
-        MAX_STRATA * len(rules()) * 21 + 1).collect()
+    held = staged(good.select("stratum", F.explode(cells).alias("c")).groupBy("stratum", "c.rule", "c.cell").agg(F.count("*").alias("n")))
+    strata = held.select("stratum").distinct().count()
     grids = {name: grid for name, (_, grid) in rules().items()}
-    total: Counter = Counter()
-    above: Counter = Counter()
-    for row in held:  # a document of cell k lies above the first k cutoffs
-        total[row["stratum"]] += row["count"] if row["rule"] == "symbols_per_word" else 0
-        for i in range(row["cell"]):
-            above[(row["stratum"], row["rule"], i)] += row["count"]
-    if len(total) > MAX_STRATA:
-        raise ValueError(f"more than {MAX_STRATA} strata")
-    return choose_cutoffs(above, total, grids, alpha, delta)
+
+    def choose(counted: pa.Table) -> pa.Table:
+        above: Counter = Counter()
+        total = 0
+        for rule, cell, n in zip(*(counted.column(c).to_pylist() for c in ("rule", "cell", "n"))):
+            total += n if rule == "symbols_per_word" else 0
+            for i in range(cell):  # a document of cell k lies above the first k cutoffs
+                above[("", rule, i)] += n
+        found = choose_cutoffs(above, {"": total}, grids, alpha, delta, strata)[""]
+        return pa.table({"cut_stratum": pa.array([counted.column("stratum")[0].as_py()], pa.string()),
+                         **{f"cut_{name}": pa.array([float(found[name])], pa.float64()) for name in grids}})
+
+    fields = "cut_stratum string, " + ", ".join(f"cut_{name} double" for name in grids)
+    return held.groupBy("stratum").applyInArrow(choose, fields)
 
 
 def base_failed() -> Column:
     return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
-def judge(measured: DataFrame, cutoffs: dict) -> DataFrame:
+def judge(measured: DataFrame, cutoffs: DataFrame) -> DataFrame:
     """Adds base_failed, rejected_by (names of the rules that reject) and kept."""
-    names = list(rules())
-    spark = measured.sparkSession
-    rows = [(s, *(float(c[n]) for n in names)) for s, c in cutoffs.items()]
-    limits = spark.createDataFrame(rows, "cut_stratum string, " + ", ".join(f"cut_{n} double" for n in names))
-    joined = measured.join(F.broadcast(limits), F.col("stratum").eqNullSafe(F.col("cut_stratum")), "left")
+    limits, small = settle(cutoffs)
+    joined = measured.join(F.broadcast(limits) if small else limits, F.col("stratum").eqNullSafe(F.col("cut_stratum")), "left")
     hits = F.array_compact(F.array(*(F.when(value > F.col(f"cut_{n}"), F.lit(n)) for n, (value, _) in rules().items())))
     return joined.select(*measured.columns, base_failed().alias("base_failed"), hits.alias("rejected_by")).withColumn(
         "kept", ~F.col("base_failed") & (F.size("rejected_by") == 0))

@@ -1,5 +1,6 @@
 import math
 import zlib
+from fractions import Fraction
 
 import numpy as np
 
@@ -37,6 +38,47 @@ def test_training_gives_frequent_pieces_weight():
     assert [p[0] for p in model.predict(["abab ab", "baba", "123", None])] == ["x", "y", "und", "und"]
 
 
+def test_words_of_any_length_are_summed_over_all_segmentations():
+    pieces = ["a", "ab", "b", "ba", "aba", "bbbb", language.MARK, language.MARK + "a"]
+    probabilities = np.random.default_rng(4).dirichlet(np.ones(8), 2).T
+    model = language.Model(["x", "y"], pieces, probabilities)
+    word = "".join(np.random.default_rng(5).choice(list("abx"), 400, p=[.5, .45, .05]))
+
+    def exact(word, p):  # whole numbers: nothing can underflow
+        p = {k: Fraction(float(v)) for k, v in p.items()}
+        sums = [Fraction(1)]
+        for end in range(1, len(word) + 1):
+            cuts = range(max(0, end - 5), end)
+            sums.append(sum(sums[i] * p.get(word[i:end], Fraction(language.FLOOR) if end - i == 1 else 0) for i in cuts))
+        return math.log(sums[-1].numerator) - math.log(sums[-1].denominator)
+
+    for w in (word, word[:41], word[:40], "z" * 39):
+        want = [exact(language.MARK + w, dict(zip(pieces, probabilities[:, k]))) for k in range(2)]
+        assert np.allclose(model.word_scores([w])[0], want, rtol=1e-12)
+        assert np.allclose(model.text_scores([["ab", w]])[0], np.array(want) + model.word_scores(["ab"])[0], rtol=1e-12)
+
+
+def test_only_letters_make_words():
+    assert language.words_of(" ² ½ Ⅷ ٣ _ ") == [] and language.words_of("x²y 日本 ß_Ñ") == ["x", "y", "日本", "ß", "ñ"]
+
+
+def test_three_hundred_languages(spark):
+    """None is too rare to be learned, and blocks of languages do not change a score."""
+    words = {f"l{i:03}": "".join(chr(97 + i // 26 ** k % 26) for k in range(2)) * 2 + "q" for i in range(300)}
+    rows = [(n, f"{w} {w} {w}", lang) for n, (lang, w) in enumerate(3 * list(words.items()))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    model = language.fit(df, vocabulary("piece_bpe_32k.model"))
+    learned = {lang for n, _, lang in rows if zlib.crc32(str(n).encode()) % 4 != 2}
+    assert set(model.languages) == learned and len(learned) > 280
+    got = {r["text"]: (r["lang_pred"], r["score"]) for r in language.predict(df, model).collect()}
+    hits = sum(got[f"{w} {w} {w}"][0] == lang for lang, w in words.items() if lang in learned)
+    assert hits > 0.95 * len(learned)
+    for text, (lang, score) in list(got.items())[:20]:
+        whole = np.concatenate([p.text_scores([language.words_of(text)])[0] for p in model.parts])
+        assert lang == model.languages[int(whole.argmax())]
+        assert math.isclose(score, 1 / np.exp(whole - whole.max()).sum(), rel_tol=1e-9)
+
+
 def test_odd_rows(spark):
     df = docs(spark, odd_texts())
     model = language.train({"en": {"word": 3}, "fr": {"mot": 3}}, language.vocabulary_pieces(vocabulary("piece_bpe_32k.model")))

@@ -45,6 +45,29 @@ def test_binomial_bound_is_exact():
         assert math.isclose(quality.binomial_cdf(k, n, float(p)), exact_cdf(k, n, p), rel_tol=1e-9)
 
 
+def test_binomial_bound_of_many_documents():
+    """Against a normal approximation with the term for skewness, in no time and no memory."""
+    n, p = 10**9, 0.003
+    mean, sd = n * p, math.sqrt(n * p * (1 - p))
+    for z in (-4, -1, 0, 1, 4):
+        k = int(mean + z * sd)
+        x = (k + 0.5 - mean) / sd
+        skew = (1 - 2 * p) / sd * (x * x - 1) / 6 * math.exp(-x * x / 2) / math.sqrt(2 * math.pi)
+        assert math.isclose(quality.binomial_cdf(k, n, p), 0.5 * math.erfc(-x / math.sqrt(2)) - skew, rel_tol=1e-4)
+    assert quality.binomial_cdf(0, n, p) == 0 and quality.binomial_cdf(n // 2, n, p) == 1
+
+
+def test_two_thousand_strata(spark):
+    texts = [" ".join(f"w{j}" for j in range(60))] * 4000 + ["a" * 30 + " b" * 80]
+    df = docs(spark, texts).withColumn("lang", F.when(F.col("doc_id") % 2000 > 0, F.concat(F.lit("s"), F.col("doc_id") % 2000)))
+    measured = quality.measures(df)
+    labels = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"))
+    cutoffs = quality.calibrate(measured, labels)
+    assert cutoffs.count() == 2000 and cutoffs.filter("cut_stratum is null").count() == 1
+    rows = quality.judge(measured, cutoffs).collect()
+    assert len(rows) == 4001 and sum(r["kept"] for r in rows) == 4000
+
+
 def test_cutoffs_are_the_lowest_that_pass_the_test():
     grids = {"r": [1.0, 2.0, 3.0]}
     above = {("en", "r", 0): 40, ("en", "r", 1): 1, ("few", "r", 0): 0}
