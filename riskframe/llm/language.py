@@ -20,8 +20,8 @@ from __future__ import annotations
 
 import math
 import re
-import sys
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -46,13 +46,16 @@ PSEUDO, FLOOR = 0.01, 1e-8
 CACHE_WORDS = 250_000
 CHARS = 1_000_000
 
-#: Characters that a regular expression takes for part of a word though they are no letters, like superscripts.
-_NUMERALS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha() and not c.isdecimal())
-_LETTERS = re.compile(rf"[^\W\d_{_NUMERALS}]+")
+_LETTERS = re.compile(r"[^\W\d_]+")
 
 
 def words_of(text: str | None) -> list[str]:
-    return _LETTERS.findall(text.lower()) if text else []
+    """Runs of letters, lower-cased."""
+    found = _LETTERS.findall(text.lower()) if text else []
+    if found and not "".join(found).isalpha():  # the expression takes superscripts and the like for letters
+        blanked = ("".join(c if c.isalpha() else " " for c in w) for w in found)
+        found = [part for w in blanked for part in w.split()]
+    return found
 
 
 def in_parts(words: list[str]) -> list[str]:
@@ -79,7 +82,7 @@ class Lattice:
         for end in range(1, self.n + 1):
             for start in range(max(0, end - MAX_PIECE), end):
                 missing = -2 if end - start == 1 else -1
-                ids = np.fromiter((get(w[start:end], missing) for w in words), np.int64, len(words))
+                ids = np.fromiter(map(get, [w[start:end] for w in words], repeat(missing)), np.int64, len(words))
                 if missing == -2 or (ids >= 0).any():
                     self.spans.append((start, end, ids))
 
@@ -168,11 +171,11 @@ class Model:
 
     def text_scores(self, texts: list[list[str]]) -> list[np.ndarray | None]:
         """Log likelihood of each text, given as words; None without words. Long words are not kept."""
-        short = {w for ws in texts for w in ws if len(w) <= MAX_WORD}
-        new = list(short - self.seen.keys())
+        met = set().union(*texts)
+        new = [w for w in met - self.seen.keys() if len(w) <= MAX_WORD]
         if len(self.seen) + len(new) > CACHE_WORDS // self.sharers:
             self.forget()
-            new = list(short)
+            new = [w for w in met if len(w) <= MAX_WORD]
         first = len(self.seen)
         self.seen.update(zip(new, range(first, first + len(new))))
         if len(self.scores) < first + len(new):
@@ -182,9 +185,12 @@ class Model:
         self.scores[first:first + len(new)] = self.word_scores(new)
         get, found = self.seen.get, []
         for ws in texts:
-            ids = np.fromiter((get(w, -1) for w in ws), np.int64, len(ws))
-            total = self.scores[ids[ids >= 0]].sum(axis=0)
-            found.append(sum((self.long_score(ws[i]) for i in np.flatnonzero(ids < 0)), total) if ws else None)
+            ids = np.fromiter(map(get, ws, repeat(-1)), np.int64, len(ws))
+            if ws and ids.min() < 0:
+                total = self.scores[ids[ids >= 0]].sum(axis=0)
+                found.append(sum((self.long_score(ws[i]) for i in np.flatnonzero(ids < 0)), total))
+            else:
+                found.append(self.scores[ids].sum(axis=0) if ws else None)
         return found
 
     def forget(self) -> None:
