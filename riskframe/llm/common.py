@@ -19,6 +19,8 @@ SPACE = r"[\x20\x09-\x0D]+"
 
 Batches = Iterator[pa.RecordBatch]
 
+SLICE_BYTES = 4 << 20
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -61,8 +63,24 @@ def keep_only(owner: str, forget: Callable[[], None] = lambda: None) -> None:
     _KEPT[owner] = forget
     if others:
         gc.collect()
-        with contextlib.suppress(OSError, AttributeError):  # only the GNU C library has it
-            ctypes.CDLL(None).malloc_trim(0)
+        release()
+
+
+def release() -> None:
+    """Give freed memory back to the system: idle workers keep it otherwise."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only the GNU C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def in_slices(batches: Batches, size: int = SLICE_BYTES) -> Batches:
+    """Batches cut to about ``size`` bytes, so that what a task makes of them stays small; at their end freed
+    memory is given back."""
+    for batch in batches:
+        rows = max(1, batch.num_rows * size // max(1, batch.nbytes))
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+    release()
 
 
 def per_row(fn: Callable[..., tuple], inputs: list[str], outputs: pa.Schema) -> Callable[[Batches], Batches]:

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from riskframe.session import settle
 
-from .common import Batches, keep_only
+from .common import Batches, in_slices, keep_only
 from .tokens import grouped
 
 UNKNOWN = "und"
@@ -256,7 +256,7 @@ def sample_counts(docs: DataFrame, docs_per_language: int) -> DataFrame:
         F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1_000_000)) < F.col("bound"))
 
     def run(batches: Batches) -> Batches:
-        for batch in batches:
+        for batch in in_slices(batches):
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
                 words = in_parts(words_of(text))
                 if words:
@@ -290,7 +290,7 @@ def predict(docs: DataFrame, model: Model, prefix: str = "") -> DataFrame:
     def run(batches: Batches) -> Batches:
         fitted = shared.value
         keep_only(f"language {id(fitted)}", fitted.forget)
-        for batch in batches:
+        for batch in in_slices(batches):
             found = fitted.predict(batch.column("text").to_pylist())
             extra = [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *extra], names=[*batch.schema.names, *names])

@@ -32,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import Batches, free_name, keep_only, keyed_texts, staged
+from .common import Batches, free_name, in_slices, keep_only, keyed_texts, staged
 from .components import components
 from .hashing import run_hashes, set_fingerprint, word_hashes
 
@@ -79,7 +79,7 @@ def cell_counts(texts: DataFrame, rule: Rule) -> np.ndarray:
     def count(batches: Batches) -> Batches:
         keep_only("similar")
         total = np.zeros(CELLS, dtype=np.int64)
-        for batch in batches:
+        for batch in in_slices(batches):
             for text in batch.column("text").to_pylist():
                 np.add.at(total, (rule.shingles(text) % np.uint64(CELLS)).astype(np.int64), 1)
         used = [i for i in range(CELLS // SLICE) if total[i * SLICE:(i + 1) * SLICE].any()]
@@ -110,7 +110,7 @@ def sets(texts: DataFrame, rule: Rule) -> DataFrame:
     def run(batches: Batches) -> Batches:
         keep_only("similar")
         counts = shared.value
-        for batch in batches:
+        for batch in in_slices(batches):
             out = []
             for key, tag, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "tag", "text"))):
                 hashes = rule.shingles(text)
@@ -138,9 +138,7 @@ def sets(texts: DataFrame, rule: Rule) -> DataFrame:
 def enough(pairs: DataFrame, rule: Rule) -> DataFrame:
     """Pairs of a and b (with their sizes and classes) whose overlap can be large enough."""
     def run(batches: Batches) -> Batches:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in in_slices(batches):
             left, right = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype="<u4").reshape(-1, CLASSES) for c in ("ca", "cb"))
             need = rule.needed(batch.column("na").to_numpy(), batch.column("nb").to_numpy())
             keep = pa.array(np.minimum(left, right).sum(axis=1, dtype=np.int64) >= need)
@@ -151,7 +149,7 @@ def enough(pairs: DataFrame, rule: Rule) -> DataFrame:
 def verified(pairs: DataFrame, rule: Rule) -> DataFrame:
     """Pairs (a, b, sa, sb: sorted set hashes) that are similar enough."""
     def run(batches: Batches) -> Batches:
-        for batch in batches:
+        for batch in in_slices(batches):
             keep = []
             for sa, sb in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist()):
                 left, right = np.frombuffer(sa, dtype="<u8"), np.frombuffer(sb, dtype="<u8")
@@ -164,7 +162,7 @@ def verified(pairs: DataFrame, rule: Rule) -> DataFrame:
 def whole_sets(texts: DataFrame, wanted: DataFrame, rule: Rule) -> DataFrame:
     """node, hashes of the wanted nodes (node, doc_id of one of its documents), from the texts."""
     def run(batches: Batches) -> Batches:
-        for batch in batches:
+        for batch in in_slices(batches):
             found = [rule.shingles(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([set_fingerprint(s) for s in found], pa.binary()), pa.array([s.astype("<u8").tobytes() for s in found], pa.binary())],
