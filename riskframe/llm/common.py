@@ -6,11 +6,12 @@ import contextlib
 import ctypes
 import gc
 from collections.abc import Callable, Iterator
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from riskframe.session import stage
+from riskframe.session import fresh_path
 
 #: White space of the word rule used in this folder: blank and the characters 9 to 13.
 #: ``bytes.split()`` without argument cuts at exactly these.
@@ -42,10 +43,32 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def staged(df: DataFrame) -> DataFrame:
+_SCRATCH: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables ``staged`` inside are deleted at the end. What is used afterwards must not be read from them:
+    write it inside as ``lasting``."""
+    made: list[str] = []
+    token = _SCRATCH.set(made)
+    try:
+        yield
+    finally:
+        _SCRATCH.reset(token)
+        for path in made:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def staged(df: DataFrame, lasting: bool = False) -> DataFrame:
     """Write an intermediate table to the shared folder, then let go of the shuffle files that
     led to it: nothing refers to them any more, and at scale they are as large as the input."""
-    out = stage(df)
+    made, path = _SCRATCH.get(), fresh_path(df.sparkSession, "stage")
+    if made is not None and not lasting:
+        made.append(path)
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
     gc.collect()
     df.sparkSession._jvm.System.gc()
     return out

@@ -32,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import Batches, free_name, in_slices, keep_only, keyed_texts, staged
+from .common import Batches, free_name, in_slices, keep_only, keyed_texts, scratch, staged
 from .components import components
 from .hashing import run_hashes, set_fingerprint, word_hashes
 
@@ -261,11 +261,13 @@ def groups(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", text_co
 
 def first_of_each(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs without those similar to another that comes first by doc_id (nulls last), then by
-    a hash of the text. Rows without words all stay; of identical rows one stays."""
-    found = groups(docs, rule, id_col, text_col).filter("root is not null")
+    a hash of the text. Rows without words all stay; of identical rows one stays. The tables of the join are
+    deleted once the keys to keep are written."""
     tag, keep_id, keep_tag = (free_name(docs, n) for n in ("tag__", "keep__id", "keep__tag"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tag"))
-    keep = staged(found.groupBy("root").agg(first.alias("f")).select(F.col("f.doc_id").alias(keep_id), F.col("f.tag").alias(keep_tag)))
+    with scratch(docs.sparkSession):
+        found = groups(docs, rule, id_col, text_col).filter("root is not null").groupBy("root").agg(first.alias("f"))
+        keep = staged(found.select(F.col("f.doc_id").alias(keep_id), F.col("f.tag").alias(keep_tag)), lasting=True)
     words = F.regexp_like(F.coalesce(F.col(text_col), F.lit("")), F.lit(r"[^\x20\x09-\x0D]"))
     tagged = docs.filter(words).withColumn(tag, F.xxhash64(text_col))
     kept = tagged.join(keep, F.col(id_col).eqNullSafe(F.col(keep_id)) & (F.col(tag) == F.col(keep_tag)), "left_semi")

@@ -1,10 +1,12 @@
 import random
 import re
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from riskframe.llm import components, similar
+from riskframe.session import shared_dir
 from llm_helpers import docs, odd_texts, real_texts
 
 
@@ -99,3 +101,14 @@ def test_columns_named_like_helpers_stay(spark):
     left = similar.first_of_each(rows)
     assert left.columns == rows.columns
     assert sorted(tuple(r) for r in left.select("doc_id", "tag__", "keep__id").collect()) == [(1, "a", 5), (3, "c", 7)]
+
+
+def test_first_of_each_leaves_only_the_keys_behind(spark, sf):
+    """The tables of the join are gone, and the result can still be read, twice."""
+    folder = Path(shared_dir(spark).removeprefix("file:"))
+    before = set(folder.iterdir()) if folder.exists() else set()
+    df = spark.read.parquet(f"{sf}/documents.parquet")
+    kept = similar.first_of_each(df)
+    assert len(set(folder.iterdir()) - before) == 1
+    ids = [sorted(r["doc_id"] for r in kept.select("doc_id").collect()) for _ in range(2)]
+    assert ids[0] == ids[1] and 0 < len(ids[0]) <= df.count()
