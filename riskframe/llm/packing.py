@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from riskframe.session import parallelism
 
-from .common import Batches, keyed_texts, staged
+from .common import Batches, in_slices, keyed_texts, staged
 from .tokens import encode_all, encoder
 
 WINDOW = 1024
@@ -113,7 +113,7 @@ def pieces(docs: DataFrame, vocabulary: str, end_id: int = 0, window: int = WIND
 
     def run(batches: Batches) -> Batches:
         coder, row = encoder(vocabulary, "leading"), 0
-        for batch in batches:
+        for batch in in_slices(batches):
             out: list[tuple] = []
             for key, ids in zip(batch.column("doc_id").to_pylist(), encode_all(coder, batch.column("text").to_pylist())):
                 ids += end
