@@ -97,3 +97,22 @@ def test_smote_takes_vectors_and_text_keys(spark):
     df = labelled(spark, np.eye(3) + 1, 9).withColumn("key", F.concat(F.lit("p"), "id")).withColumn("v", array_to_vector("features"))
     made = resample.smote(df, "y", "key", "v", k=2).collect()
     assert len(made) == 6 and all(r["key"].startswith("p") for r in made)
+
+
+def test_a_block_search_holds_a_few_rows_of_distances_at_a_time():
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    x = (rng.random((4096, 60)) < 0.1).astype(float)  # many equal distances: many pairs are compared by differences
+    ids = np.arange(len(x))
+    tracemalloc.start()
+    row, col, near = resample._nearest_in_block(x, x, ids, ids, 5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 128 << 20  # one matrix of 4096 x 4096 distances has as much
+    assert np.bincount(row).tolist() == [5] * len(x)
+    for i in (0, 256, 4095):
+        d = ((x[i] - x) ** 2).sum(1)
+        d[i] = np.inf
+        assert col[row == i].tolist() == np.lexsort((ids, d))[:5].tolist()
+        assert np.allclose(near[row == i] ** 2, np.sort(d)[:5])
