@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from riskframe.operators import guided, train as tr
+from riskframe.operators import boosting as bo, guided, train as tr
 
 RANGES = tr.GUIDED_SEARCH_RANGES
 
@@ -55,3 +55,12 @@ def test_search_over_folds(spark):
     table = guided.trial_table(spark, found)
     assert table.count() == 4
     assert table.agg(F.min("score")).first()[0] > 0.5
+
+
+def test_rows_are_binned_once_for_all_trials(spark, monkeypatch):
+    calls = []
+    monkeypatch.setattr(guided, "binned", lambda *a, **k: calls.append(1) or bo.binned(*a, **k))
+    rows = [(i, i % 2, 1.0, i % 3, [float(i % 2), float(i % 7)]) for i in range(60)]
+    train = spark.createDataFrame(rows, "id long, label int, weight double, fold int, features array<double>")
+    found = guided.search(train, {"n_estimators": ("int", 1, 2, 1)}, 2, ["id"])
+    assert len(found.trials) == 2 and len(calls) == 1
