@@ -89,3 +89,15 @@ def test_draws_are_repeatable_and_in_range():
     for d in tr.range_draws(tr.GUIDED_SEARCH_RANGES, 50):
         assert d["n_estimators"] % 50 == 0 and 100 <= d["n_estimators"] <= 1000
         assert 0.005 <= d["learning_rate"] <= 0.1 and 0.6 <= d["subsample"] <= 1.0
+
+
+def test_training_rows_of_trees_come_in_bounded_partitions(spark):
+    from pyspark.ml.functions import array_to_vector
+
+    df = spark.range(1000, numPartitions=2).select("id", array_to_vector(F.array_repeat(F.lit(0.0), 50)).alias("features"))
+    assert tr.bounded(df).rdd.getNumPartitions() == 2  # small: as they come
+    parts = tr.bounded(df, task_bytes=20_000)
+    sizes = parts.groupBy(F.spark_partition_id()).count().collect()
+    assert len(sizes) == 10 and max(r["count"] for r in sizes) <= 150
+    assert parts.select("id").distinct().count() == 1000
+    assert tr.bounded(df.filter("id < 0")).count() == 0
