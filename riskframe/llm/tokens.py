@@ -97,19 +97,19 @@ class Encoder:
 
     def _by_piece(self, keys: list[bytes]) -> list[bytes]:
         """Ids of pieces, from the cache where they are known."""
-        if len(self.cache) + len(keys) > CACHE_PIECES // 2:
-            new = sum(k not in self.cache for k in keys)
-            if len(self.cache) + new > CACHE_PIECES // 2:
-                self.cache, self.older = {}, self.cache
         found = list(map(self.cache.get, keys))
         absent = [i for i, ids in enumerate(found) if ids is None]
-        unknown = []
+        if len(self.cache) + len(absent) > CACHE_PIECES // 2:
+            self.cache, self.older, absent = {}, self.cache, range(len(keys))
+        unknown: dict[bytes, list[int]] = {}
         for i in absent:
-            found[i] = self.older.get(keys[i])
+            key = keys[i]
+            found[i] = self.older.get(key)
             if found[i] is None:
-                unknown.append(i)
-        for i, ids in zip(unknown, self._encode_keys([keys[i] for i in unknown])):
-            found[i] = ids
+                unknown.setdefault(key, []).append(i)
+        for places, ids in zip(unknown.values(), self._encode_keys(list(unknown))):
+            for i in places:
+                found[i] = ids
         self.cache.update((keys[i], found[i]) for i in absent)
         return found
 
@@ -132,14 +132,11 @@ class Encoder:
 
     def _of_pieces(self, pieces: pa.Array) -> list[bytes]:
         """Ids of distinct pieces; a stop behind a word is looked up alone."""
-        keys = pieces.cast(pa.large_binary()).to_pylist()
+        keys = _raw(pieces)
         stop = pc.and_not(pc.match_substring_regex(pieces, _STOP), pc.match_substring(pieces, "<|")).to_numpy(zero_copy_only=False)
-        bare, stopped = np.flatnonzero(~stop).tolist(), np.flatnonzero(stop).tolist()
-        found: list[bytes] = [b""] * len(keys)
-        for i, ids in zip(bare, self._by_piece([keys[i] for i in bare])):
-            found[i] = ids
-        for i, ids in zip(stopped, self._by_piece([keys[i][:-1] for i in stopped])):
-            found[i] = ids + self.stops[keys[i][-1]]
+        found = self._by_piece([k[:-1] if s else k for k, s in zip(keys, stop.tolist())])
+        for i in np.flatnonzero(stop).tolist():
+            found[i] += self.stops[keys[i][-1]]
         return found
 
     def _cut(self, texts: list[str]) -> list[bytes]:
@@ -164,6 +161,14 @@ class Encoder:
         return [next(cut if e else whole) for e in even]
 
 
+def _raw(texts: pa.Array) -> list[bytes]:
+    """The texts of an array without nulls as bytes, cut from its buffer."""
+    _, offsets, data = texts.cast(pa.large_binary()).buffers()
+    ends = np.frombuffer(offsets, dtype=np.int64)[texts.offset:][:len(texts) + 1].tolist() if len(texts) else []
+    whole = data.to_pybytes() if data else b""
+    return [whole[a:b] for a, b in zip(ends, ends[1:])]
+
+
 _ENCODERS: dict[tuple[str, str], Encoder] = {}
 
 

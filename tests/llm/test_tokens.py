@@ -1,5 +1,6 @@
 import struct
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
 from tokenizers import Tokenizer
@@ -49,3 +50,20 @@ def test_results_do_not_depend_on_cache_or_merges(name, blanks, monkeypatch):
     coder.by_model = False
     assert coder.ids(texts) == want
     assert coder.ids([]) == []
+
+
+@pytest.mark.parametrize("name,blanks", FILES)
+def test_pieces_are_looked_up_together(name, blanks, monkeypatch):
+    coder, asked = tokens.Encoder(vocabulary(name), blanks), []
+    by_piece = coder._by_piece
+    monkeypatch.setattr(coder, "_by_piece", lambda keys: asked.append(len(keys)) or by_piece(keys))
+    texts = ["some word, other word.", "word word, x"]
+    assert coder.ids(texts) == whole(ENCODERS[name][1], texts)
+    assert len(asked) == 1  # bare words and those before a stop
+
+
+def test_raw_texts_of_slices():
+    texts = pa.array(["", "ab", "é", "", "\n🙂"], pa.large_string())
+    assert tokens._raw(texts) == [t.encode() for t in texts.to_pylist()]
+    assert tokens._raw(texts[1:4]) == [b"ab", "é".encode(), b""]
+    assert tokens._raw(texts[:0]) == tokens._raw(pa.array([], pa.large_string())) == []
