@@ -9,13 +9,20 @@ from pyspark.ml.util import MLWritable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from riskframe.operators.encode import Preprocessor
+from riskframe.session import set_for_now
+
+#: Folders a writing task has open files in at once; beyond that Spark sorts the rest of its rows.
+OPEN_FILES = 16
 
 
 def write_table(df: DataFrame, path: str, mode: str = "overwrite", partition_by: Sequence[str] = ()) -> str:
     writer = df.write.mode(mode)
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
+    if not partition_by:
+        writer.parquet(path)
+        return path
+    # a task keeps a file open per folder; otherwise it would sort its rows, wide as they are, and spill them
+    with set_for_now(df.sparkSession, "spark.sql.maxConcurrentOutputFileWriters", OPEN_FILES):
+        writer.partitionBy(*partition_by).parquet(path)
     return path
 
 

@@ -172,3 +172,27 @@ def test_large_vocabularies_and_rates_read_the_source_once(spark, monkeypatch, t
     rated = rates.fit_smoothed_rates(df, {f"r_{c}": c for c in columns}, "y").transform(df)
     assert 1 <= scans(rated) <= 2
     assert rated.orderBy("id").select(*few_rates[0].asDict()).collect() == few_rates
+
+
+def test_plans_may_bring_their_label(spark):
+    from datetime import datetime
+    row = (datetime(2024, 1, 1, 12), datetime(2024, 1, 9, 8))
+    values = {**{c: None for c in tables.PLANS.fieldNames()}, "request_date": row[0], "surgery_date": row[1]}
+    plans = spark.createDataFrame([[{**values, "plan_id": str(i)}[c] for c in tables.PLANS.fieldNames()] for i in range(4)], tables.PLANS)
+    log = spark.createDataFrame([("1", None, None), ("1", None, None)], tables.CANCEL_LOG)
+    holidays, city = tables.holiday_table(spark, []), spark.createDataFrame([], tables.CITY_DIM)
+    want = features.engineer(plans, log, holidays, city)
+    got = features.engineer(joins.flag_members(plans, "plan_id", log, "plan_id", "was_canceled"), None, holidays, city)
+    assert got.dtypes == want.dtypes and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    with pytest.raises(ValueError, match="lacks columns"):
+        features.engineer(plans, None, holidays, city)
+
+
+def test_partitioned_write_does_not_sort(spark, tmp_path, monkeypatch):
+    from pyspark.sql import DataFrameWriter
+    key, seen, write = "spark.sql.maxConcurrentOutputFileWriters", [], DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, path: seen.append(spark.conf.get(key)) or write(self, path))
+    before, rows = spark.conf.get(key), spark.range(40).selectExpr("id", "id % 20 AS p")
+    path = sinks.write_table(rows, str(tmp_path / "t"), partition_by=["p"])  # more folders than open files
+    assert seen == [str(sinks.OPEN_FILES)] and spark.conf.get(key) == before
+    assert spark.read.parquet(path).filter("id % 20 = p").count() == 40
