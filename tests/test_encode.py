@@ -196,3 +196,21 @@ def test_partitioned_write_does_not_sort(spark, tmp_path, monkeypatch):
     path = sinks.write_table(rows, str(tmp_path / "t"), partition_by=["p"])  # more folders than open files
     assert seen == [str(sinks.OPEN_FILES)] and spark.conf.get(key) == before
     assert spark.read.parquet(path).filter("id % 20 = p").count() == 40
+
+
+@pytest.mark.parametrize("own", [None, "60000"])
+def test_wide_projections_are_compiled_in_any_session(spark, monkeypatch, own):
+    from pyspark.sql import DataFrameWriter
+    key, seen, write = "spark.sql.codegen.hugeMethodLimit", [], DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, path: seen.append(spark.conf.get(key)) or write(self, path))
+    given = spark.conf.get(key)
+    spark.conf.unset(key) if own is None else spark.conf.set(key, own)
+    try:
+        before = spark.conf.get(key)
+        assert session.stage(spark.range(3)).count() == 3
+        assert seen == [str(session.HUGE_METHOD)] and spark.conf.get(key) == before
+        with pytest.raises(ZeroDivisionError), session.set_for_now(spark, key, 1):
+            1 / 0
+        assert spark.conf.get(key) == before
+    finally:
+        spark.conf.set(key, given)
