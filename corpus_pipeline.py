@@ -11,6 +11,9 @@ predecessor kept:
     packing          token pieces, their ids with them, and their places in windows of 1024;
                      ``packing.sequences`` joins them to windows
 
+Every stage sets the session's ``spark.sql.execution.arrow.maxBytesPerBatch`` to the size its tasks work in, unless the
+session has a value already. The setting stays, because a stage's table is written after the stage has returned.
+
 Nulls, empty tables, ties and repeated rows: see the operators' modules.
 """
 
@@ -21,7 +24,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from riskframe.llm import decontaminate, language, packing, pii, similar
-from riskframe.llm.common import staged, table
+from riskframe.llm.common import bound_batches, staged, table
 from riskframe.llm.queries import vocabulary
 
 #: Least probability of the predicted language.
@@ -29,6 +32,7 @@ CLEAR = 0.5
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
     model = language.fit(docs, vocabulary("piece_bpe_32k.model"))
     scored = language.predict(docs, model, "stage_")
     clear = (F.col("stage_lang_pred") != language.UNKNOWN) & (F.col("stage_score") >= CLEAR)
@@ -38,19 +42,23 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
     return similar.first_of_each(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
     masked = pii.redact(docs)
     return masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else masked
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
     return packing.pack(docs, vocabulary("byte_bpe_50k.json"), with_ids=True)
 
 

@@ -96,11 +96,19 @@ def release() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def bound_batches(spark: SparkSession, size: int = SLICE_BYTES) -> None:
+    """Let the session hand over batches of about ``size`` bytes, unless it has a bound of its own. Otherwise they have
+    10,000 rows, and the executor and its Python worker both hold one as a whole."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(size))
+
+
 def in_slices(batches: Batches, size: int = SLICE_BYTES) -> Batches:
     """Batches cut to about ``size`` bytes, so that what a task makes of them stays small; at their end freed
     memory is given back."""
     for batch in batches:
-        rows = max(1, batch.num_rows * size // max(1, batch.nbytes))
+        rows = max(1, -(-batch.num_rows // max(1, round(batch.nbytes / size))))
         for start in range(0, batch.num_rows, rows):
             yield batch.slice(start, rows)
     release()

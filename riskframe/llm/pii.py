@@ -28,7 +28,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import Batches, keep_only, keyed_texts
+from .common import Batches, in_slices, keep_only, keyed_texts
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 ADDED_KINDS = ("iban", "access_key", "secret")
@@ -216,7 +216,7 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The same rows and columns with personal data replaced."""
     def run(batches: Batches) -> Batches:
         keep_only("pii")
-        for batch in batches:
+        for batch in in_slices(batches):
             i = batch.schema.get_field_index(text_col)
             texts = pa.array([redacted(t) for t in batch.column(i).to_pylist()], batch.schema.field(i).type)
             yield batch.set_column(i, batch.schema.field(i), texts)

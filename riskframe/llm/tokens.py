@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from .common import keep_only
+from .common import keep_only, release
 
 #: About 120 MB in each Python worker.
 CACHE_PIECES = 600_000
@@ -177,6 +177,7 @@ def encoder(path: str, blanks: str) -> Encoder:
     keep_only(f"tokens {path}", _ENCODERS.clear)
     if (path, blanks) not in _ENCODERS:
         _ENCODERS[path, blanks] = Encoder(path, blanks)
+        release()  # reading the file takes as much again
     return _ENCODERS[path, blanks]
 
 

@@ -1,6 +1,7 @@
 import zlib
 
 import corpus_pipeline as cp
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from riskframe.llm import language, packing
@@ -60,3 +61,21 @@ def test_pieces_carry_their_tokens(spark, sf, tmp_path):
     assert rows and all(len(r["ids"]) == 4 * r["length"] and zlib.crc32(r["ids"]) == r["ids_crc32"] for r in rows)
     windows = {r["sequence_id"]: bytes(r["ids"]) for r in packing.sequences(packed).collect()}
     assert all(windows[r["sequence_id"]][4 * r["offset"]:4 * (r["offset"] + r["length"])] == r["ids"] for r in rows)
+
+
+def test_stages_hand_over_small_batches(spark, tmp_path):
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], names=["size"])
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    few = spark.createDataFrame([(1, "some words", "en", "s", 10)], DOCS)
+    many = spark.range(0, 2000, 1, 1).select("id", F.repeat(F.lit("word "), 2000).alias("text"))
+    for name in ("language", "pii", "packing"):
+        spark.conf.unset(key)
+        try:
+            stage(name)(spark, few, str(tmp_path))
+            found = [r["size"] for r in many.mapInArrow(sizes, "size long").collect()]
+        finally:
+            spark.conf.unset(key)
+        assert len(found) > 1 and max(found) < 5 << 20, name
