@@ -4,8 +4,9 @@ from pyspark.ml.classification import GBTClassificationModel
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
-from riskframe.operators import evaluate as ev, train as tr
+from riskframe.operators import boosting as bo, evaluate as ev, train as tr
 from riskframe.operators.stratify import stratified_folds
+from riskframe.plans import catalog_models as cm
 from riskframe.sources import sinks
 
 SMALL = {"n_estimators": 5, "learning_rate": 0.3, "max_depth": 3, "subsample": 1.0, "colsample_bytree": 1.0}
@@ -101,3 +102,33 @@ def test_training_rows_of_trees_come_in_bounded_partitions(spark):
     assert len(sizes) == 10 and max(r["count"] for r in sizes) <= 150
     assert parts.select("id").distinct().count() == 1000
     assert tr.bounded(df.filter("id < 0")).count() == 0
+
+
+def test_search_applies_all_parameters_of_a_draw(spark, data, monkeypatch):
+    weighted = tr.weighted(data, "label")
+    draw = {**SMALL, "n_estimators": 3, "gamma": 0.5}  # of a node's whole gain; per row it would leave no split
+    changes = {"gamma": 500.0, "reg_alpha": 50.0, "reg_lambda": 90.0, "min_child_weight": 60.0, "num_leaves": 2, "min_child_samples": 150}
+    draws = [draw, *[{**draw, k: v} for k, v in changes.items()]]
+    fitted = tr.search(weighted, draws, tr.boosting(SMALL), keys=["id"])
+    assert all(t.leaves > 2 for t in fitted.bestModel.trees) and len(fitted.avgMetrics) == len(draws)
+    assert len({round(m, 9) for m in fitted.avgMetrics}) == len(draws)
+    monkeypatch.setattr(bo, "LOCAL_BYTES", 0)  # in rounds, scored by a job each
+    again = tr.search(weighted, draws[:2], tr.boosting(SMALL), keys=["id"])
+    assert again.avgMetrics == pytest.approx(fitted.avgMetrics[:2]) and again.stdMetrics == pytest.approx(fitted.stdMetrics[:2])
+
+
+def _searched(monkeypatch, data, query):
+    """The draws that a query searches."""
+    class Few:
+        def __init__(self, *_):
+            self.train = tr.weighted(data.drop("fold").withColumnRenamed("id", "plan_id"), "label")
+
+    seen = []
+    monkeypatch.setattr(cm, "_Data", Few)
+    monkeypatch.setattr(tr, "search", lambda train, draws, *a, **k: seen.extend(draws) or tr.Searched([0.5] * len(draws), [0.0] * len(draws), None))
+    assert query(data.sparkSession, "").count() == len(seen)
+    return seen
+
+
+def test_random_search_tries_all_published_draws(data, monkeypatch):
+    assert _searched(monkeypatch, data, cm.search_best) == tr.random_draws(tr.RANDOM_SEARCH_SPACE, tr.RANDOM_SEARCH_DRAWS)
