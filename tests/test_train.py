@@ -132,3 +132,7 @@ def _searched(monkeypatch, data, query):
 
 def test_random_search_tries_all_published_draws(data, monkeypatch):
     assert _searched(monkeypatch, data, cm.search_best) == tr.random_draws(tr.RANDOM_SEARCH_SPACE, tr.RANDOM_SEARCH_DRAWS)
+
+
+def test_range_search_tries_all_published_draws(data, monkeypatch):
+    assert _searched(monkeypatch, data, cm.search_ranges) == tr.range_draws(tr.GUIDED_SEARCH_RANGES, tr.GUIDED_SEARCH_DRAWS)
