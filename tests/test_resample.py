@@ -116,3 +116,13 @@ def test_a_block_search_holds_a_few_rows_of_distances_at_a_time():
         d[i] = np.inf
         assert col[row == i].tolist() == np.lexsort((ids, d))[:5].tolist()
         assert np.allclose(near[row == i] ** 2, np.sort(d)[:5])
+
+
+def test_synthetic_rows_are_written_as_sparse_vectors(spark):
+    from pyspark.ml.linalg import DenseVector, SparseVector
+
+    rows = [(0, [0.0] * 90 + [2.0, 0.5]), (1, [float(i + 1) for i in range(92)]), (2, [0.0] * 92)]
+    made = resample.as_vectors(spark.createDataFrame(rows, "id int, features array<double>"), 92)
+    got = {r["id"]: r["features"] for r in made.collect()}
+    assert made.columns == ["id", "features"] and {i: v.toArray().tolist() for i, v in got.items()} == dict(rows)
+    assert [type(got[i]) for i in range(3)] == [SparseVector, DenseVector, SparseVector]
